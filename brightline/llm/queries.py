@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, mixing
+from brightline.llm import decontaminate, mixing, quality
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps, with their log weights and keys."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.kept(quality.score(docs.select("doc_id", "text"), model), model).select("doc_id", "log_weight", "key")
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_decontaminate": op3_decontaminate, "op7_mixing": op7_mixing}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op7_mixing": op7_mixing,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
