@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, mixing, quality
+from brightline.llm import decontaminate, mixing, ngram_join, quality
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that five-word shingle similarity of 0.8 or more puts it in."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark windows found in it."""
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op3_decontaminate": op3_decontaminate,
         "op7_mixing": op7_mixing,
         "op10_quality": op10_quality,
