@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the reread table.
 
     Unlike a cached frame the table survives the loss of any executor, and what is
-    computed from it does not repeat the work above it.
+    computed from it does not repeat the work above it. Shuffle files of the work above are
+    deleted once the driver's JVM has collected their handles, so collection is asked for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brightline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
