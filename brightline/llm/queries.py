@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, mixing, ngram_join, quality, substring
+from brightline.llm import decontaminate, mixing, ngram_join, quality, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes that strings of 200 bytes which occur again cover."""
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps, with their log weights and keys."""
     docs = table(spark, sf_dir, "documents")
@@ -48,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": op3_decontaminate,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_mixing": op7_mixing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
     }
 
