@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, mixing, ngram_join, quality, substring, suffixes
+from brightline.llm import decontaminate, html_text, mixing, ngram_join, quality, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_phrases(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op2_ngram_join": op2_ngram_join,
         "op3_decontaminate": op3_decontaminate,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_html_text": op6_html_text,
         "op7_mixing": op7_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
