@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, html_text, mixing, ngram_join, quality, substring, suffixes
+from brightline.llm import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in the documents, by place and digest."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that repeat runs of 20 words from earlier."""
     return substring.dedup_phrases(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_ngram_join": op2_ngram_join,
         "op3_decontaminate": op3_decontaminate,
+        "op4_secret_scan": op4_secret_scan,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_html_text": op6_html_text,
         "op7_mixing": op7_mixing,
