@@ -70,13 +70,22 @@ def classes(scanned: DataFrame) -> DataFrame:
 
 
 def recurring(scanned: DataFrame, one: DataFrame) -> DataFrame:
-    """doc_id, sha and at: the sorted places of anchors that occur more than once, of one document per content.
+    """A written table of doc_id, sha and at: the places of anchors that occur more than once, of one document per content.
 
     Counting combines before the shuffle and the places are joined to the counts, so that an anchor that a large
     share of the documents hold is no single task's work.
     """
     first = scanned.where("size(at) > 0").join(one.select("sha", "first_id"), "sha").where("doc_id = first_id")
-    first = first.dropDuplicates(["sha"])
-    places = materialise(first.select("doc_id", F.inline(F.arrays_zip("at", "anchor"))), "anchors")
+    places = first.select("doc_id", F.inline(F.arrays_zip("at", "anchor")))
     often = places.groupBy("anchor").count().where("count > 1").select("anchor")
-    return places.join(often, "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    again = places.join(often, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    return materialise(again.join(one.select(F.col("first_id").alias("doc_id"), "sha"), "doc_id"), "recurring")
+
+
+def once(texts: DataFrame, scanned: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with each text of a doc_id once."""
+    repeated = scanned.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    repeated = materialise(repeated, "repeated")
+    if repeated.isEmpty():
+        return texts
+    return texts.join(repeated, "doc_id", "left_anti").unionByName(texts.join(repeated, "doc_id").dropDuplicates(["doc_id", "text"]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightline.functions.materialise import materialise
-from brightline.llm.anchors import anchor_of_runs, classes, recurring, scan
+from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
 from brightline.llm.common import gram_hashes, word_hashes
 
 RUN_WORDS = 20
@@ -70,7 +70,7 @@ def located(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[
 
 
 def posted_runs(texts: DataFrame) -> DataFrame:
-    """run (hash), doc_id and start of every run whose anchor is a recurring phrase. texts: doc_id, text, at."""
+    """run (hash), doc_id and start of every run whose anchor is a recurring phrase. texts: doc_id, text, sha, at."""
 
     def flush(chunk: list[tuple[int, bytes, list[bytes], list[int]]]) -> pa.RecordBatch:
         automaton, numbers = phrase_automaton([(words, places) for _, _, words, places in chunk])
@@ -88,11 +88,11 @@ def posted_runs(texts: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, phrases = [], 0
         for batch in batches:
-            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at")), strict=True):
+            for doc_id, text, sha, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sha", "at")), strict=True):
                 words = words_of(text)
-                if len(words) < RUN_WORDS:
+                if hashlib.sha256(b" ".join(words)).digest() != sha:
                     continue
-                chunk.append((doc_id, text, words, [a for a in at if a + PHRASE_WORDS <= len(words)]))
+                chunk.append((doc_id, text, words, at))
                 phrases += len(at)
                 if phrases >= AUTOMATON_PHRASES:
                     yield flush(chunk)
@@ -100,7 +100,7 @@ def posted_runs(texts: DataFrame) -> DataFrame:
         if chunk:
             yield flush(chunk)
 
-    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "at").mapInArrow(stream, "run long, doc_id long, start int")
+    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "sha", "at").mapInArrow(stream, "run long, doc_id long, start int")
 
 
 def later_starts(runs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def dedup_phrases(docs: DataFrame) -> DataFrame:
     scanned = scan(docs, look, "phrases")
     one = materialise(classes(scanned), "classes")
     again = recurring(scanned, one)
-    runs = materialise(posted_runs(texts.join(again, "doc_id")), "runs")
+    runs = materialise(posted_runs(once(texts, scanned).join(again, "doc_id")), "runs")
     later = materialise(later_starts(runs), "later")
     cut = without_runs(texts.join(later, "doc_id")).drop("kept")
     rows = scanned.select("doc_id", "sha", F.col("size").alias("n_words"))

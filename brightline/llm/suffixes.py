@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightline.functions.materialise import materialise
-from brightline.llm.anchors import anchor_of_runs, classes, recurring, scan
+from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
 from brightline.llm.common import mix, powers, prefix_hash
 
 RUN_BYTES = 200
@@ -66,8 +66,10 @@ def posted_segments(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors, ids, starts, segments = [], [], [], []
-            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at")), strict=True):
-                grams = gram_hashes_of(np.frombuffer(text or b"", np.uint8), GRAM_BYTES)
+            for doc_id, text, sha, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sha", "at")), strict=True):
+                if not text or hashlib.sha256(text).digest() != sha:
+                    continue
+                grams = gram_hashes_of(np.frombuffer(text, np.uint8), GRAM_BYTES)
                 of = anchor_of_runs(grams, RUN_BYTES, GRAM_BYTES)
                 first, last = np.searchsorted(of, at, "left"), np.searchsorted(of, at, "right")
                 for a, i, j in zip(at, first.tolist(), last.tolist(), strict=True):
@@ -77,7 +79,7 @@ def posted_segments(texts: DataFrame) -> DataFrame:
                 pa.array(np.array(anchors, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(segments, pa.binary()),
             ], names=["anchor", "doc_id", "start", "segment"])
 
-    columns = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "at")
+    columns = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "sha", "at")
     return columns.mapInArrow(run, "anchor long, doc_id long, start int, segment binary")
 
 
@@ -171,7 +173,6 @@ def repeated_strings(segments: list[bytes], counts: list[int]) -> list[np.ndarra
     lengths = np.array([len(s) for s in segments])
     offset = np.concatenate(([0], np.cumsum(lengths)))
     data = b"".join(segments)
-    wanted = np.zeros(len(data), np.int64)
     wanted = np.zeros(len(data) + 1, np.int64)
     np.add.at(wanted, offset[:-1], 1)
     np.add.at(wanted, offset[1:] - RUN_BYTES + 1, -1)
@@ -258,7 +259,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     scanned = scan(docs, look, "grams")
     one = materialise(classes(scanned), "classes")
     again = recurring(scanned, one)
-    posted = posted_segments(texts.join(again, "doc_id")).withColumn("mark", F.xxhash64("segment"))
+    posted = posted_segments(once(texts, scanned).join(again, "doc_id")).withColumn("mark", F.xxhash64("segment"))
     posted = materialise(posted, "segments")
     distinct = posted.groupBy("anchor", "mark", "segment").agg(F.count("*").alias("n"))
     crowded = posted.groupBy("anchor").agg(F.approx_count_distinct("mark", 0.02).alias("marks")).where(F.col("marks") > MOST_SEGMENTS).select("anchor")
