@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, substring, suffixes
+from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, quality, secret_scan, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in the documents."""
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the bytes that strings of 200 bytes which occur again cover."""
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_html_text": op6_html_text,
         "op7_mixing": op7_mixing,
+        "op8_license_scan": op8_license_scan,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
     }
