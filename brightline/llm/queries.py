@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, quality, secret_scan, substring, suffixes
+from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id is divisible by 20."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component that five-word shingle similarity of 0.8 or more puts it in."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_permutation_index": op1_permutation_index,
         "op2_ngram_join": op2_ngram_join,
         "op3_decontaminate": op3_decontaminate,
         "op4_secret_scan": op4_secret_scan,
