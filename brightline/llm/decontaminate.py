@@ -13,7 +13,6 @@ benchmark leaves every document clean. Other columns of either table play no par
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -76,11 +75,11 @@ def searchers(items: list[tuple[str, bytes | None]], window: int) -> list[WuManb
     return [WuManber(windows, length) for length, windows in by_length.items()]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Each document with its number of words, the word spans that benchmark windows cover
-    (maximal, sorted: array of start and end) and the items found.
+def find_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The columns `carry` of each document with three more: n_words, spans (those that benchmark windows cover:
+    maximal, sorted, each of start and end word) and items (those found).
 
-    docs: doc_id, text. benchmark: item_id, text. The benchmark is read to the driver by shards of about
+    docs: text and carry. benchmark: item_id, text. The benchmark is read to the driver by shards of about
     shard_bytes; every shard is one pass over the documents, without a shuffle.
     """
     items = benchmark.select(
@@ -88,27 +87,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS
     ).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    schema = "doc_id long, text binary, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    out = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
-    )
+    kind = "array<struct<start:int,end:int>>"
+    found = [F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", kind), ("items", "array<string>"))]
+    out = docs.select(F.col("text").cast("binary").alias("searched"), *found, *[F.col(c) for c in carry])
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         patterns = [(r.item_id, bytes(r.text)) for r in part.toLocalIterator()]
-        out = out.mapInArrow(_pass_over(patterns, window, last=k == shards - 1), schema)
-    return out.drop("text")
+        out = out.mapInArrow(_pass_over(patterns, window, last=k == shards - 1), out.schema)
+    return out.drop("searched")
 
 
 def _pass_over(patterns: list[tuple[str, bytes]], window: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = searchers(patterns, window)
         for batch in batches:
-            cols = {name: batch.column(name).to_pylist() for name in ("doc_id", "text", "spans", "items")}
+            texts, old_spans, old_items = (batch.column(i).to_pylist() for i in (0, 2, 3))
             n_words, spans, items = [], [], []
-            for text, old_spans, old_items in zip(cols["text"], cols["spans"], cols["items"], strict=True):
+            for text, before, named in zip(texts, old_spans, old_items, strict=True):
                 words = item_words(text)
-                got, names = [(s["start"], s["end"]) for s in old_spans or ()], set(old_items or ())
+                got, names = [(s["start"], s["end"]) for s in before or ()], set(named or ())
                 for search in found:
                     for start, of in search.find(words):
                         got.append((start, start + search.length))
@@ -117,13 +114,11 @@ def _pass_over(patterns: list[tuple[str, bytes]], window: int, last: bool):
                 spans.append([{"start": s, "end": e} for s, e in merged(got)])
                 items.append(sorted(names))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols["doc_id"], pa.int64()), pa.array([None] * len(n_words) if last else cols["text"], pa.binary()), pa.array(n_words, pa.int64()),
-                    pa.array(spans, kind), pa.array(items, pa.list_(pa.string())),
-                ],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
+            columns = [
+                pa.array([None] * len(texts) if last else texts, pa.binary()), pa.array(n_words, pa.int64()),
+                pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), *batch.columns[4:],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
@@ -148,6 +143,10 @@ def judge(found: DataFrame, min_share: float = 0.05) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(round(1 / min_share)) >= F.col("n_words")))
 
 
-def sha256_of_items(items: list[str]) -> str:
-    """The digest of a list of items, as judge() writes it."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (text and any other columns) that are not contaminated, as they are."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    carry = inner.columns
+    found = judge(find_items(inner.withColumn("text", F.col(f"c{names.index('text')}")), benchmark, carry))
+    return found.where(~F.col("contaminated")).select(*carry).toDF(*names)
