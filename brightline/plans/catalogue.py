@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightline.plans import thermal  # noqa: F401  registers its queries
+from brightline.plans import ledger, thermal  # noqa: F401  they register their queries
 from brightline.plans.registry import QUERIES, SQL, Query
 
 
