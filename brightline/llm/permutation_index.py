@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-PIVOTS vectors, a bounded sample, stand for the space: each vector is the order in which it sees them, nearest first. Every
+PIVOTS vectors, a bounded sample, stand for the space: each vector is the order in which it sees them, nearest first. One more
+component makes all indexed vectors equally long, which turns the largest inner product into the smallest angle. Every
 vector is posted in the inverted files of its POSTED nearest pivots. A query looks into the files of its PROBED nearest pivots, ranks
 what is posted there by footrule distance (the sum of the differences of the pivots' places), and the nearest SHARE of each file, LEAST at
 least, is ranked anew by the inner product in double precision. A vector posted in several of a query's files is looked at in the first only.
@@ -51,14 +52,33 @@ def chosen_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     return np.array(different[:pivots], float)
 
 
-def index(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """A written table of vec_id, vector and places (of each pivot in the vector's order) as bytes, and nearest (pivots, nearest first)."""
+def longest_of(vectors: DataFrame) -> float:
+    """The largest length of a vector."""
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return float(vectors.agg(F.max(F.sqrt(squares))).first()[0] or 0.0)
+
+
+def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with one more component that brings them all to the same length, so that the largest inner product is the smallest angle."""
+    rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1, keepdims=True), 0.0))
+    return np.hstack([vectors, rest])
+
+
+def permuted(vectors: DataFrame, pivots: np.ndarray, longest: float, asking: bool) -> DataFrame:
+    """A written table of vec_id, vector and places (of each pivot in the vector's order) as bytes, and nearest (pivots, nearest first).
+
+    Vectors that ask have nothing in the component that makes those of the index equally long.
+    """
     n = len(pivots)
+    far = lengthened(pivots, longest) if n else pivots
 
     def run(batches):
         for batch in batches:
-            v = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
-            order = np.argsort(-(v @ pivots.T), axis=1, kind="stable") if batch.num_rows else np.zeros((0, n), int)
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column("vector").to_pylist(), float)
+            long = np.hstack([v, np.zeros((len(v), 1))]) if asking else lengthened(v, longest)
+            order = np.argsort(-(long @ far.T), axis=1, kind="stable")
             places = np.empty(order.shape, np.int16)
             np.put_along_axis(places, order, np.arange(n, dtype=np.int16)[None, :], axis=1)
             yield pa.RecordBatch.from_arrays([
@@ -70,7 +90,7 @@ def index(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found for each of queries (rows of the index)."""
+    """query_id, rank, vec_id and score of the k nearest in indexed found for each of queries; both are permuted() by the same pivots."""
     posted = indexed.select("vec_id", "vector", "places", F.slice("nearest", 1, POSTED).alias("posts"))
     sizes = {r.pivot: r.n for r in posted.select(F.explode("posts").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     parts = F.array(*[F.lit(-(-sizes.get(p, 0) // PART_ROWS)) for p in range(max(sizes, default=0) + 1)])
@@ -113,5 +133,6 @@ def _matrix(column: pd.Series, kind) -> np.ndarray:
 def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of every vector whose vec_id is divisible by `every`, among all others."""
     vectors = materialise(valid_vectors(rows), "vectors")
-    indexed = index(vectors, chosen_pivots(vectors, PIVOTS))
-    return search(indexed, indexed.where(F.col("vec_id") % every == 0), k)
+    pivots, longest = chosen_pivots(vectors, PIVOTS), longest_of(vectors)
+    indexed = permuted(vectors, pivots, longest, asking=False)
+    return search(indexed, permuted(vectors.where(F.col("vec_id") % every == 0), pivots, longest, asking=True), k)
