@@ -2,14 +2,18 @@
 
 PIVOTS vectors, a bounded sample, stand for the space: each vector is the order in which it sees them, nearest first. One more
 component makes all indexed vectors equally long, which turns the largest inner product into the smallest angle. Every
-vector is posted in the inverted files of its POSTED nearest pivots. A query looks into the files of its PROBED nearest pivots, ranks
-what is posted there by footrule distance (the sum of the differences of the pivots' places), and the nearest SHARE of each file, LEAST at
-least, is ranked anew by the inner product in double precision. A vector posted in several of a query's files is looked at in the first only.
+vector is posted in the inverted files of its POSTED nearest pivots. A query looks into the files of its PROBED nearest pivots and ranks
+all that is posted there by the inner product in double precision: in a tight cluster all members have nearly the same permutation, so
+footrule distances (of whole permutations) can't tell which of them to leave out. A vector posted in several of a query's files is looked at
+in the first only. The few vectors far longer than the rest would make the added component swamp the others; they are posted in a file of
+their own, which every query looks into.
 
 Files are cut into parts of about PART_ROWS vectors and queries into blocks of BLOCK_QUERIES, so that a pivot that is nearest to a large
 share of the vectors is many tasks' work; nothing posted is left out.
 
-Recall of the 20 nearest against brute force, on the given tables: 0.96 to 0.98 (tests hold it above 0.9).
+What is missed of the 20 nearest is posted in no probed file. Modelled share that is posted in one, 150 queries each: 0.98 to 1.0 on the
+given tables, 1.0 on 20 and 50 clusters of 6000 and 40000 rows in 64 dimensions, 0.97 where lengths are lognormal (sigma 0.5). A query looks at
+half to four fifths of the vectors there. Tests hold recall above 0.9.
 
 Defined results. Vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do those of another length than most,
 nor rows without vec_id. Rows that repeat a vec_id count once, with the least of their vectors. A query with fewer candidates gets all that
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightline.functions.materialise import materialise
@@ -29,8 +33,9 @@ from brightline.functions.materialise import materialise
 PIVOTS = 128
 POSTED = 4
 PROBED = 48
-SHARE = 0.2
-LEAST = 32
+#: Vectors longer than LONG times the length that this share of the vectors stays within are outlying.
+USUAL = 0.99
+LONG = 2.0
 PART_ROWS = 4_096
 BLOCK_QUERIES = 2_048
 
@@ -52,10 +57,14 @@ def chosen_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     return np.array(different[:pivots], float)
 
 
+def length() -> Column:
+    return F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+
+
 def longest_of(vectors: DataFrame) -> float:
-    """The largest length of a vector."""
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    return float(vectors.agg(F.max(F.sqrt(squares))).first()[0] or 0.0)
+    """The largest length of a vector that is not outlying."""
+    usual = vectors.agg(F.percentile_approx(length(), USUAL)).first()[0]
+    return float(vectors.where(length() <= LONG * usual).agg(F.max(length())).first()[0]) if usual else 0.0
 
 
 def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -67,7 +76,8 @@ def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
 def permuted(vectors: DataFrame, pivots: np.ndarray, longest: float, asking: bool) -> DataFrame:
     """A written table of vec_id, vector and places (of each pivot in the vector's order) as bytes, and nearest (pivots, nearest first).
 
-    Vectors that ask have nothing in the component that makes those of the index equally long.
+    Vectors that ask have nothing in the component that makes those of the index equally long. The file of outlying vectors counts as one
+    more pivot, the last: such vectors have no other in nearest, and all that ask have it there.
     """
     n = len(pivots)
     far = lengthened(pivots, longest) if n else pivots
@@ -79,19 +89,24 @@ def permuted(vectors: DataFrame, pivots: np.ndarray, longest: float, asking: boo
             v = np.array(batch.column("vector").to_pylist(), float)
             long = np.hstack([v, np.zeros((len(v), 1))]) if asking else lengthened(v, longest)
             order = np.argsort(-(long @ far.T), axis=1, kind="stable")
-            places = np.empty(order.shape, np.int16)
+            places = np.full((len(v), n + 1), n, np.int16)
             np.put_along_axis(places, order, np.arange(n, dtype=np.int16)[None, :], axis=1)
+            near = list(order[:, :PROBED].astype(np.int32))
+            if asking:
+                near = [np.append(x, np.int32(n)) for x in near]
+            else:
+                near = [x if size <= longest else np.array([n], np.int32) for x, size in zip(near, batch.column("length").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in places], pa.binary()),
-                pa.array(list(order[:, :PROBED].astype(np.int32)), pa.list_(pa.int32())),
+                pa.array(near, pa.list_(pa.int32())),
             ], names=["vec_id", "vector", "places", "nearest"])
 
-    return materialise(vectors.mapInArrow(run, "vec_id long, vector binary, places binary, nearest array<int>"), "index")
+    return materialise(vectors.withColumn("length", length()).mapInArrow(run, "vec_id long, vector binary, places binary, nearest array<int>"), "index")
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest in indexed found for each of queries; both are permuted() by the same pivots."""
-    posted = indexed.select("vec_id", "vector", "places", F.slice("nearest", 1, POSTED).alias("posts"))
+    posted = indexed.select("vec_id", "vector", F.slice("nearest", 1, POSTED).alias("posts"))
     sizes = {r.pivot: r.n for r in posted.select(F.explode("posts").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     parts = F.array(*[F.lit(-(-sizes.get(p, 0) // PART_ROWS)) for p in range(max(sizes, default=0) + 1)])
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
@@ -107,18 +122,16 @@ def search(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if len(mine) and len(ask):
             pivot = group[0]
             mine = mine.sort_values("vec_id")
-            ids, posts = mine["vec_id"].to_numpy(), np.array(mine["posts"].tolist())
-            places, vectors = _matrix(mine["places"], np.int16), _matrix(mine["vector"], float)
+            ids, posts, vectors = mine["vec_id"].to_numpy(), np.array(mine["posts"].tolist()), _matrix(mine["vector"], float)
             for query, q, at in zip(ask["vec_id"], _matrix(ask["vector"], float), _matrix(ask["places"], np.int16), strict=True):
                 here = np.flatnonzero((at[posts].min(axis=1) == at[pivot]) & (ids != query))
                 if not len(here):
                     continue
-                footrule = np.abs(places[here] - at).sum(axis=1, dtype=np.int16)
-                n = min(len(here), max(LEAST, k, int(np.ceil(len(here) * SHARE))))
-                near = here[np.argsort(footrule, kind="stable")[:n]]
-                score = vectors[near] @ q
-                best = np.lexsort((ids[near], -score))[:k]
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near[best]], "score": score[best]}))
+                # Not by BLAS: equal vectors get equal scores wherever they stand, so that ties are seen.
+                score = np.einsum("ij,j->i", vectors, q)[here]
+                best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(here) > k else np.arange(len(here))
+                best = best[np.lexsort((ids[here[best]], -score[best]))[:k]]
+                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[here[best]], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     near = files.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(rank, "query_id long, vec_id long, score double")
@@ -133,6 +146,7 @@ def _matrix(column: pd.Series, kind) -> np.ndarray:
 def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of every vector whose vec_id is divisible by `every`, among all others."""
     vectors = materialise(valid_vectors(rows), "vectors")
-    pivots, longest = chosen_pivots(vectors, PIVOTS), longest_of(vectors)
+    longest = longest_of(vectors)
+    pivots = chosen_pivots(vectors.where(length() <= longest), PIVOTS)
     indexed = permuted(vectors, pivots, longest, asking=False)
     return search(indexed, permuted(vectors.where(F.col("vec_id") % every == 0), pivots, longest, asking=True), k)

@@ -313,6 +313,33 @@ def test_permutation_index_recall_and_odd_vectors(spark):
     assert permutation_index.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def mean_recall(spark, v):
+    ids = np.arange(len(v))
+    got = collections.defaultdict(set)
+    for x in permutation_index.nearest(spark.createDataFrame([(int(i), v[i].tolist()) for i in ids], "vec_id long, embedding array<double>")).collect():
+        got[x.query_id].add(x.vec_id)
+    recall = []
+    for q in range(0, len(v), 20):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        recall.append(len(got[q] & set(np.lexsort((ids, -scores))[:20].tolist())) / 20)
+    return np.mean(recall)
+
+
+@pytest.mark.parametrize("outlying", [0, 5])
+def test_permutation_index_recall_in_tight_clusters(spark, outlying):
+    r = np.random.RandomState(5)
+    centres = r.randn(20, 16)
+    v = np.array([centres[i % 20] + 0.3 * r.randn(16) for i in range(6000)])
+    v[1 : 1 + outlying] *= 1e9
+    assert mean_recall(spark, v) >= 0.9
+
+
+def test_permutation_index_keeps_the_smaller_ids_of_a_large_tie(spark):
+    v = np.tile(np.random.RandomState(7).randn(16), (300, 1))
+    assert mean_recall(spark, v) == 1.0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], CLASHING)
     bench = spark.createDataFrame([], "item_id long, text string")
