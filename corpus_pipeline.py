@@ -21,8 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones keeps."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, log_weight="__log_weight", key="__key")
-    return quality.kept(scored, model, key="__key").drop("__log_weight", "__key")
+    return quality.resample(docs, model, log_weight="__log_weight", key="__key").drop("__log_weight", "__key")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
