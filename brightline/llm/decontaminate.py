@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightline.functions.materialise import discard, materialise
 from brightline.llm.common import ITEM_WORDS
 
 WINDOW_WORDS = 13
 BLOCK_WORDS = 3
-#: Bytes of benchmark text that one search holds in memory; a larger benchmark is searched in several passes.
-SHARD_BYTES = 16 << 20
+#: Bytes of benchmark text that one search holds in memory, in tables of some 130 bytes a byte; a larger benchmark is searched in several passes.
+SHARD_BYTES = 2 << 20
 
 
 def item_words(text: bytes | None) -> list[bytes]:
@@ -93,7 +94,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], window:
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         patterns = [(r.item_id, bytes(r.text)) for r in part.toLocalIterator()]
-        out = out.mapInArrow(_pass_over(patterns, window, last=k == shards - 1), out.schema)
+        before, out = out, out.mapInArrow(_pass_over(patterns, window, last=k == shards - 1), out.schema)
+        if k < shards - 1:  # so that the driver and the tasks hold one shard at a time
+            out = materialise(out, "pass")
+            if k:
+                discard(before)
     return out.drop("searched")
 
 

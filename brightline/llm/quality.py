@@ -11,11 +11,10 @@ count t of a cell, e the count expected there if the target were like the raw te
 n-gram's length, the cell's log ratio is log((t + a) / (e + a)): cells that are too rare to tell say nothing.
 A document of the target sample is scored with its own counts taken out of both models.
 
-Unless the caller gives k, it is the number of documents that reach the cutoff: the key that all but 1 - KEEP
-of the target sample reach.
+Unless the caller gives k, it is the number of documents that look like the target: those whose keys are at or above
+the one that all but 1 - KEEP of the target sample reach.
 
-Defined results. A null or empty text, or one of white space only, has log weight 0. A null doc_id draws the noise of
-its own. Rows that repeat a doc_id draw the same noise and are kept or dropped by their own texts. Of several
+Defined results. A null or empty text, or one of white space only, has log weight 0. Rows without doc_id draw one common noise. Rows that repeat a doc_id draw the same noise and are kept or dropped by their own texts. Of several
 labels of a document any that is not good makes it not good; null labels are not good. Without labelled documents every
 weight is 0 and every document is kept. Ties at k go to the smaller doc_id. Other columns pass through.
 """
@@ -28,10 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightline.functions.materialise import materialise
 from brightline.llm.common import LOWER_ASCII, SPACE_BYTES, gram_hashes, mix, powers, prefix_hash
 
 #: Bound of the labelled documents that the target model is fitted on.
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11, rows: int = TARGET_R
     if ids.value:
         wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids.value], "wanted long"))
         sample = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long") == F.col("wanted"), "left_semi")
-        keys = [r.key for r in score(sample, model).select("key").limit(2 * rows).collect()]
+        # One key a doc_id: no more numbers than ids.value holds, whatever repeats.
+        keys = [r.key for r in score(sample, model).groupBy("doc_id").agg(F.min("key").alias("key")).collect()]
         if keys:
             model.cutoff = float(np.quantile(keys, 1 - keep))
     return model
@@ -184,18 +185,21 @@ def score(docs: DataFrame, model: Resampler, log_weight: str = "log_weight", key
     return rows.mapInArrow(run, schema)
 
 
-def kept(scored: DataFrame, model: Resampler, key: str = "key") -> DataFrame:
-    """The documents whose keys reach the cutoff: the k largest keys, k being the number of such keys."""
-    return scored.where(F.col(key) >= F.lit(model.cutoff))
+def resample(docs: DataFrame, model: Resampler, k: int | None = None, log_weight: str = "log_weight", key: str = "key") -> DataFrame:
+    """The k rows of docs of largest key, with log weight and key. Scores are written once and read for k and for the choice."""
+    scored = materialise(score(docs, model, log_weight, key), "scored")
+    if k is None:
+        k = scored.where(F.col(key) >= F.lit(model.cutoff)).count()
+    return top_k(scored, k, key)
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, key: str = "key") -> DataFrame:
     """The k rows of largest key, ties to the smaller doc_id.
 
-    scored is read several times: give a written table. The k-th largest key is found by histograms of BINS bins, each within the bin
-    that holds it, so that no task sorts all rows and the driver gets only counts; what ties there is ranked in parts.
+    scored is read several times: give a written table. The k-th largest key is found by histograms of 4096 bins, each within the bin
+    that holds it, so that no task sorts all rows and the driver gets only counts; only what ties there is sorted.
     """
-    low, high, left = *scored.agg(F.min("key"), F.max("key")).first(), k
+    low, high, left = *scored.agg(F.min(key), F.max(key)).first(), k
     if low is None or k <= 0:
         return scored.limit(0)
     bins = 4096
@@ -203,8 +207,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
         width = (high - low) / bins
         if low + width == low:
             break
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
-        counts = dict(scored.where(F.col("key").between(low, high)).groupBy(at.alias("bin")).count().collect())
+        at = F.least(F.floor((F.col(key) - low) / width), F.lit(bins - 1))
+        counts = dict(scored.where(F.col(key).between(low, high)).groupBy(at.alias("bin")).count().collect())
         hit = -1
         for b in sorted(counts, reverse=True):
             if counts[b] >= left:
@@ -213,8 +217,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
             left -= counts[b]
         if hit < 0:
             return scored
-        inside = scored.where(F.col("key").between(low, high) & (at == hit)).agg(F.min("key"), F.max("key")).first()
+        inside = scored.where(F.col(key).between(low, high) & (at == hit)).agg(F.min(key), F.max(key)).first()
         low, high = inside
-    ties = scored.where(F.col("key") == low)
-    ranked = ties.withColumn("__rank", F.row_number().over(Window.orderBy("doc_id"))).where(F.col("__rank") <= left).drop("__rank")
-    return scored.where(F.col("key") > low).unionByName(ranked)
+    ties = scored.where(F.col(key) == low).orderBy(F.col("doc_id").asc_nulls_last()).limit(left)
+    return scored.where(F.col(key) > low).unionByName(ties)

@@ -65,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps, with their log weights and keys."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.kept(quality.score(docs.select("doc_id", "text"), model), model).select("doc_id", "log_weight", "key")
+    return quality.resample(docs.select("doc_id", "text"), model).select("doc_id", "log_weight", "key")
 
 
 def queries() -> dict[str, Query]:

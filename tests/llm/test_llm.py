@@ -112,6 +112,19 @@ def test_one_of_each_keeps_one_row_of_a_group(docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
 
 
+def test_one_of_each_judges_rows_by_their_texts(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(r.choices("abcdefghijklmnop", k=40)) for _ in range(3))
+    rows = [(1, a), (9, a), (9, b), (9, b), (None, c), (None, c), (None, c + " more"), (None, a), (4, None), (4, None), (None, ""), (3, "few words"), (3, "Few  words")]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, digest int")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = collections.Counter((x.doc_id, x.text) for x in kept.collect())
+    few = left[(3, "few words")] + left[(3, "Few  words")]
+    assert few == 1 and left[(None, c)] + left[(None, c + " more")] == 1
+    assert [left[k] for k in [(1, a), (9, a), (9, b), (None, a), (4, None), (None, "")]] == [1, 0, 1, 0, 2, 1] and sum(left.values()) == 7
+
+
 def test_decontamination_matches_brute_force(spark, docs):
     rows = rows_of(docs)
     bench = [(i, t) for i, t in enumerate([rows[3][1][100:400], "one two", None, "", "word word word", " ".join(rows[9][1].split()[:14])])] + [(None, "one")]
@@ -223,11 +236,52 @@ def test_quality_keeps_good_text(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, key string")
     labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows[:200]] + [(None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
-    kept = {x.doc_id for x in quality.kept(quality.score(docs, model, key="__key"), model, key="__key").collect()}
+    kept = {x.doc_id for x in quality.resample(docs, model, key="__key").collect()}
     assert sum(i in kept for i, _, g in rows if g) > 280 and not any(i in kept for i, _, g in rows if not g)
-    assert quality.kept(quality.score(docs.limit(0), model, key="k"), model, key="k").count() == 0
+    assert quality.resample(docs.limit(0), model, key="__key").count() == 0
+    assert quality.resample(docs, model, k=7, key="__key").count() == 7
     none = quality.fit(docs, labels.limit(0))
-    assert quality.kept(quality.score(docs, none, key="k"), none, key="k").count() == docs.count()
+    assert quality.resample(docs, none, key="__key").count() == docs.count()
+
+
+TOKEN_RUNS = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+")
+
+
+def token_grams(text):
+    found = TOKEN_RUNS.findall((text or "").translate(LOWER).encode())
+    return collections.Counter((n, *found[i : i + n]) for n in quality.SMOOTHING for i in range(len(found) - n + 1))
+
+
+def test_log_weight_is_the_sum_over_ngrams(spark):
+    rows = [(i, t) for i, t in enumerate([*corpus(3, 40), None, "", "Ab, cd... AB", "x"])] + [(5, "again the same id"), (None, "no id")]
+    good = {i for i in range(0, 30, 2)} | {5}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw += token_grams(t)
+        target += token_grams(t) if i in good else {}
+    total = lambda c, n: sum(v for g, v in c.items() if g[0] == n)
+    share = {n: total(target, n) / total(raw, n) for n in quality.SMOOTHING}
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    for r in got:
+        own, out = token_grams(r.text), 0.0
+        for g, k in own.items():
+            mine = k if r.doc_id in good else 0
+            out += k * np.log((max(target[g] - mine, 0) + quality.SMOOTHING[g[0]]) / ((raw[g] - mine) * share[g[0]] + quality.SMOOTHING[g[0]]))
+        assert r.log_weight == pytest.approx(out, abs=1e-3)
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    half = spark.createDataFrame([x for x in labels if x.doc_id % 2], "doc_id long, quality int, toxic int")
+    weight = {x.doc_id: x.log_weight for x in quality.score(docs, quality.fit(docs, half)).collect()}
+    good = [weight[x.doc_id] for x in labels if x.doc_id % 2 == 0 and x.quality == 1 and not x.toxic]
+    bad = [weight[x.doc_id] for x in labels if x.doc_id % 2 == 0 and (x.quality == 0 or x.toxic)]
+    ranked = np.mean([np.mean(g > np.array(bad)) for g in good])
+    print("held-out AUC", ranked, len(good), len(bad))
+    assert ranked > 0.8
 
 
 def test_top_k_is_exact_with_ties(spark):
