@@ -73,3 +73,54 @@ def tile_lon(x: Column, zoom: int) -> Column:
 def support_radius_m(scan: Column, track: Column) -> Column:
     """Half the diagonal, in metres, of a pixel of scan by track kilometres."""
     return F.sqrt(scan * scan + track * track) * 500.0
+
+
+def normal_lon(lon: Column) -> Column:
+    """Longitude in [-180, 180)."""
+    return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+
+
+def haversine_plain(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance without care for the antimeridian, for places that are near each other."""
+    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+
+
+def on_segment(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> tuple[Column, Column, Column]:
+    """The point of a short segment nearest to a place, on a plane scaled by the place's latitude, and its share t of the way."""
+    scale = F.cos(F.radians(lat))
+    ax, bx, ay, by = lon_delta(lon, lon_a) * scale, lon_delta(lon, lon_b) * scale, lat_a - lat, lat_b - lat
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length == 0, F.lit(0.0)).otherwise(F.least(F.greatest(-(ax * dx + ay * dy) / length, F.lit(0.0)), F.lit(1.0)))
+    return lat_a + (lat_b - lat_a) * t, normal_lon(lon_a + lon_delta(lon_a, lon_b) * t), t
+
+
+def taper(offset: Column, half: Column) -> Column:
+    """How far a wedge reaches at an angle off its axis, as a share of its length."""
+    return 0.38 + 0.62 * F.cos(F.abs(offset) / half * (math.pi / 2))
+
+
+def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
+    return (lat1 + lat2) / 2, normal_lon(lon1 + lon_delta(lon1, lon2) / 2)
+
+
+def adaptive_zoom(lat: Column, span_m: float = 18000.0, low: int = 7, high: int = 11) -> Column:
+    """The zoom at which a cell is about span_m wide."""
+    circumference = 2 * math.pi * 6378137.0
+    return F.least(F.greatest(F.floor(F.log2(F.lit(circumference) * F.cos(F.radians(lat)) / span_m)), F.lit(low)), F.lit(high)).cast("int")
+
+
+def ring_area(ring: Column) -> Column:
+    """Signed area of a closed ring, an array of struct(x, y): positive if it turns against the clock."""
+    after = F.slice(ring, F.lit(2), F.size(ring) - 1)
+    cross = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2
+
+
+def antimeridian_lat(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Latitude at which the great circle through two places meets the 180th meridian; null if it runs along a meridian."""
+    a, b = F.radians(lat1), F.radians(lat2)
+    turn = F.sin(F.radians(lon2 - lon1))
+    rise = F.tan(a) * F.sin(F.radians(lon2 - 180.0)) + F.tan(b) * F.sin(F.radians(180.0 - lon1))
+    return F.when(F.abs(turn) > 1e-12, F.degrees(F.atan(rise / turn)))

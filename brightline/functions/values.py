@@ -61,3 +61,29 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+
+
+# Letters with marks of Latin and Greek, and the letters under them.
+MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšťùúûüūůűųýÿźżžάέήίόύώϊϋΐΰ"
+PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsstuuuuuuuuyyzzzαεηιουωιυιυ"
+
+
+def fold(text: Column) -> Column:
+    """Lower case without the marks of Latin and Greek letters."""
+    return F.translate(F.lower(text), MARKED, PLAIN)
+
+
+def title_key(text: Column) -> Column:
+    """Folded text of which only letters of a-z, α-ω and digits are left, words apart by one space."""
+    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9α-ω]+", " "))
+
+
+def finite(text: Column) -> Column:
+    """A number that is neither NaN nor infinite, else null; blank text is null."""
+    number = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+
+
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """x rounded to so many decimals as plain text, without a sign for zero."""
+    return F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)

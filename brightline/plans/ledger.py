@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brightline.functions.values import title_key
 from brightline.operators.core import as_of, chain_violations, top_rows, without_newer
 from brightline.plans.registry import query
 from brightline.sources.tables import REVISIONS_SQL, epoch_seconds, revisions, table
@@ -47,12 +48,13 @@ def join_no_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(r.withColumn("version", F.col("version") - 1), ["chain", "version"], "left_anti")
 
 
-@query("join_asof_effective", f"""WITH {ORDERS_SQL}, {REVISIONS_SQL}, q AS (SELECT chain, version, chain % 1500 + 1 AS o_custkey, shipped_s FROM rev WHERE version = 1),
+@query("join_asof_effective", f"""WITH {ORDERS_SQL}, {REVISIONS_SQL}, q AS (SELECT chain, version, h.o_custkey, shipped_s FROM rev JOIN orders h ON h.o_orderkey = chain WHERE version = 1),
   j AS (SELECT q.*, o.o_orderkey, row_number() OVER (PARTITION BY q.chain ORDER BY o.effective_s DESC NULLS LAST, o.o_orderkey DESC) AS rn FROM q LEFT JOIN ord o ON o.o_custkey = q.o_custkey AND o.effective_s <= q.shipped_s)
 SELECT chain, o_custkey, coalesce(o_orderkey, 0) AS asof_o_orderkey FROM j WHERE rn = 1""")
 def join_asof_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chain's first revision with the dimension row that was in effect: union and carry forward, one shuffle; 0 where none was."""
-    first = revisions(spark, sf_dir).where("version = 1").select("chain", (F.col("chain") % 1500 + 1).alias("o_custkey"), "shipped_s")
+    holder = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chain"), "o_custkey")
+    first = revisions(spark, sf_dir).where("version = 1").join(holder, "chain").select("chain", "o_custkey", "shipped_s")
     return as_of(first, orders(spark, sf_dir), ["o_custkey"], "shipped_s", "effective_s", ["o_orderkey"], ["o_orderkey"]).select("chain", "o_custkey", F.coalesce("asof_o_orderkey", F.lit(0)).alias("asof_o_orderkey"))
 
 
@@ -68,14 +70,14 @@ def join_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
 
 
-GATE_SQL = "EXISTS (SELECT 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = l_suppkey AND s_suppkey % 4 <> 0 AND n_regionkey % 2 = 0)"
+GATE_SQL = "EXISTS (SELECT 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = l_suppkey AND s_acctbal >= 0 AND n_name <> 'CHINA')"
 
 
 @query("flt_gate", f"WITH {REVISIONS_SQL} SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM rev WHERE {GATE_SQL} GROUP BY l_suppkey")
 def flt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions whose source and provider are open: semi-joins, with the aggregate on the narrow side."""
-    open_regions = table(spark, sf_dir, "nation").where("n_regionkey % 2 = 0")
-    gate = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").join(open_regions, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    open_regions = table(spark, sf_dir, "nation").where("n_name <> 'CHINA'")
+    gate = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").join(open_regions, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
     return sums.join(gate, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
 
@@ -264,10 +266,10 @@ def incidents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "n_name", "last_s", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("source_catalog", "SELECT s_suppkey, s_name, n_name, s_suppkey % 4 <> 0 AS enabled FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("source_catalog", "SELECT s_suppkey, s_name, n_name, s_acctbal >= 0 AS enabled FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select("s_suppkey", "s_name", "n_name", (F.col("s_suppkey") % 4 != 0).alias("enabled"))
+    return s.select("s_suppkey", "s_name", "n_name", (F.col("s_acctbal") >= 0).alias("enabled"))
 
 
 @query("source_health_latest", "WITH h AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, CAST(epoch_us(t) // 1000000 AS BIGINT) AS last_failure_s FROM u LEFT JOIN h USING (user_id)")
@@ -308,9 +310,15 @@ def txt_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", category.alias("category"))
 
 
-@query("set_dedupe_two_key", """WITH d AS (SELECT doc_id, source, lower(substr(text, 1, 60)) AS title FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS rt FROM d) SELECT doc_id FROM r WHERE length(title) <= 24 OR rt = 1""")
+FOLDED_SQL = r"trim(regexp_replace(lower(strip_accents(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))), '[^a-z0-9α-ω]+', ' ', 'g'))"
+
+
+@query("set_dedupe_two_key", f"""WITH d AS (SELECT page_id, url, {FOLDED_SQL} AS title FROM pages), u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS ru FROM d),
+  t AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length(title) > 24 THEN title ELSE 'page ' || page_id END ORDER BY page_id) AS rt FROM u WHERE ru = 1) SELECT page_id, url, title FROM t WHERE rt = 1""")
 def set_dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First of each folded title; short titles say nothing."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("title"))
-    long = d.where(F.length("title") > 24).groupBy("title").agg(F.min("doc_id").alias("doc_id"))
-    return d.where(F.length("title") <= 24).select("doc_id").unionByName(long.select("doc_id"))
+    """The first page of each URL, then of each folded title; a title of 24 characters or fewer says nothing."""
+    title = title_key(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    one = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title")).groupBy("url").agg(F.min(F.struct("page_id", "title")).alias("p"))
+    d = one.select("p.page_id", "url", "p.title")
+    telling = F.when(F.length("title") > 24, F.col("title")).otherwise(F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    return d.groupBy(telling.alias("__title")).agg(F.min(F.struct("page_id", "url", "title")).alias("p")).select("p.*")

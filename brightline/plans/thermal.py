@@ -278,13 +278,13 @@ def geo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("product", "b.event_id", F.round("b.km", 6).alias("km"))
 
 
-@query("join_cell", f"""WITH {DETECTIONS_SQL}, c AS (SELECT event_id, {CELL_SQL} FROM det), cells AS (SELECT DISTINCT x, y FROM c WHERE (x + y) % 7 = 0)
-SELECT c.event_id, c.x, c.y FROM c JOIN cells USING (x, y)""")
+@query("join_cell", f"""WITH {DETECTIONS_SQL}, c AS (SELECT event_id, {CELL_SQL} FROM det), cells AS (SELECT x, y, CAST(count(*) AS BIGINT) AS in_cell FROM c GROUP BY x, y)
+SELECT c.event_id, c.x, c.y, in_cell FROM c JOIN cells USING (x, y)""")
 def join_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in cells as an equi-join on the tile."""
+    """Points in all occupied cells, with the cell's count, as an equi-join on the tile."""
     c = geo_cell(spark, sf_dir)
-    cells = c.where((F.col("x") + F.col("y")) % 7 == 0).select("x", "y").distinct()
-    return c.join(cells, ["x", "y"]).select("event_id", "x", "y")
+    cells = c.groupBy("x", "y").agg(F.count("*").alias("in_cell"))
+    return c.join(cells, ["x", "y"]).select("event_id", "x", "y", "in_cell")
 
 
 @query("hash_natural_key", f"""WITH {DETECTIONS_SQL} SELECT event_id, sha256(product || '|' || satellite || '|' || acquired_s || '|' || (event_id * 37 % 400) || '|' || (event_id * 73 % 500)) AS natural_key FROM det""")

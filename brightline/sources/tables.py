@@ -30,9 +30,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections as two overlapping deliveries sent them: delivery 0 (area) before 1 (download)."""
+    """Detections as two overlapping deliveries sent them, every one in one at least: delivery 0 (area) before 1 (download)."""
     d = detections(spark, sf_dir)
-    return d.where("event_id % 5 <> 0").withColumn("delivery", F.lit(0)).unionByName(d.where("event_id % 3 <> 0").withColumn("delivery", F.lit(1)))
+    area = d.where("frp IS NULL OR frp < 12").withColumn("delivery", F.lit(0))
+    return area.unionByName(d.where("frp >= 5").withColumn("delivery", F.lit(1)))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ DETECTIONS_SQL = """det AS (
          CAST(0.3 AS DOUBLE) + (event_id % 20) / CAST(20 AS DOUBLE) AS scan, CAST(0.3 AS DOUBLE) + (event_id % 13) / CAST(20 AS DOUBLE) AS track
   FROM events)"""
 DELIVERIES_SQL = DETECTIONS_SQL + """, deliv AS (
-  SELECT *, 0 AS delivery FROM det WHERE event_id % 5 <> 0 UNION ALL SELECT *, 1 AS delivery FROM det WHERE event_id % 3 <> 0)"""
+  SELECT *, 0 AS delivery FROM det WHERE frp IS NULL OR frp < 12 UNION ALL SELECT *, 1 AS delivery FROM det WHERE frp >= 5)"""
 REVISIONS_SQL = """rev AS (
   SELECT l_orderkey AS chain, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS version,
          CAST(epoch_us(l_shipdate) // 1000000 AS BIGINT) AS shipped_s, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, l_returnflag, l_linestatus
