@@ -63,12 +63,12 @@ def geo_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @per_row("geo_wedge", "det", "event_id", {
-    "reach_km": "list_transform(range(-2, 3), o -> round((2 + k / 10.0) * (0.38 + 0.62 * cos(abs(o * 12.5) / 25.0 * (pi() / 2))), 6))",
+    "side_km": "round((2 + k / 10.0) * (0.38 + 0.62 * cos(pi() / 4)), 6)", "axis_km": "2 + k / 10.0",
 })
 def geo_wedge():
-    """How far a wedge of 25 degrees to either side reaches at five angles."""
+    """How far a wedge of 25 degrees to either side reaches half-way to its side, and on its axis."""
     length = F.lit(2.0) + F.col("k") / 10.0
-    return {"reach_km": F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.round(length * geo.taper(o * 12.5, F.lit(25.0)), 6))}
+    return {"side_km": F.round(length * geo.taper(F.lit(12.5), F.lit(25.0)), 6), "axis_km": length * geo.taper(F.lit(0.0), F.lit(25.0))}
 
 
 @per_row("geo_midpoint", "det", "event_id", {"mid_lat": f"round((glat + {LAT}) / 2, 6)", "mid_lon": f"round({NORMAL_SQL(f'glon + {DELTA_SQL("glon", str(LON))} / 2')}, 6)"})
@@ -111,23 +111,33 @@ def geo_cell_span():
     return {"centre_lat": F.round((north + south) / 2, 6), "span_km": F.round((north - south) * 111.195, 4)}
 
 
-WEST_SQL, EAST_SQL = "glon", NORMAL_SQL("glon + k")
+WEST_SQL, EAST_SQL = "glon", NORMAL_SQL("glon + k + 1")
 
 
 @per_row("geo_bounds_mid", "det", "event_id", {"mid_lon": f"round({NORMAL_SQL(f'glon + (CASE WHEN {EAST_SQL} >= glon THEN {EAST_SQL} - glon ELSE {EAST_SQL} + 360 - glon END) / 2')}, 6)"})
 def geo_bounds_mid():
     """The middle of bounds that may cross the antimeridian."""
-    east = geo.normal_lon(F.col("glon") + F.col("k"))
+    east = geo.normal_lon(F.col("glon") + F.col("k") + 1)
     width = F.when(east >= F.col("glon"), east - F.col("glon")).otherwise(east + 360 - F.col("glon"))
     return {"mid_lon": F.round(geo.normal_lon(F.col("glon") + width / 2), 6)}
 
 
-@per_row("geo_rect_split", "det", "event_id", {"parts": f"CASE WHEN {EAST_SQL} >= glon THEN [[round(glon, 6), round({EAST_SQL}, 6)]] ELSE [[round(glon, 6), 180.0], [-180.0, round({EAST_SQL}, 6)]] END"})
+@per_row("geo_rect_split", "det", "event_id", {
+    "n_parts": f"CASE WHEN {EAST_SQL} >= glon THEN 1 ELSE 2 END", "first_east": f"CASE WHEN {EAST_SQL} >= glon THEN round({EAST_SQL}, 6) ELSE 180.0 END",
+    "last_west": f"CASE WHEN {EAST_SQL} >= glon THEN round(glon, 6) ELSE -180.0 END",
+})
 def geo_rect_split():
-    """West and east of a rectangle, in two parts if it crosses the antimeridian."""
-    west, east = F.round("glon", 6), F.round(geo.normal_lon(F.col("glon") + F.col("k")), 6)
+    """A rectangle in one part, or in two if it crosses the antimeridian."""
+    parts = rectangle_parts()
+    return {"n_parts": F.size(parts), "first_east": F.get(F.get(parts, F.lit(0)), F.lit(1)), "last_west": F.get(F.element_at(parts, -1), F.lit(0))}
+
+
+def rectangle_parts():
+    """West and east of each part of the rectangle that is k + 1 degrees wide."""
+    end = geo.normal_lon(F.col("glon") + F.col("k") + 1)
+    west, east = F.round("glon", 6), F.round(end, 6)
     one, two = F.array(F.array(west, east)), F.array(F.array(west, F.lit(180.0)), F.array(F.lit(-180.0), east))
-    return {"parts": F.when(geo.normal_lon(F.col("glon") + F.col("k")) >= F.col("glon"), one).otherwise(two)}
+    return F.when(end >= F.col("glon"), one).otherwise(two)
 
 
 @per_row("geo_ring_area", "det", "event_id", {"area": "round((1 + k / 10.0) * (2 + event_id % 7) * CASE WHEN k < 50 THEN 1 ELSE -1 END, 6)"})
@@ -165,5 +175,5 @@ def flt_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_geojson", f"WITH {DETECTIONS_SQL} SELECT event_id, CASE WHEN {EAST_SQL} >= glon THEN 'Polygon' ELSE 'MultiPolygon' END AS kind FROM det")
 def sink_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of geometry that a cell's bounds are written as."""
-    parts = geo_rect_split()["parts"]
+    parts = rectangle_parts()
     return detections(spark, sf_dir).select("event_id", F.when(F.size(parts) == 1, "Polygon").otherwise("MultiPolygon").alias("kind"))
