@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightline.plans import geometry, instants, ledger, rules, texts, thermal  # noqa: F401  they register their queries
+from brightline.plans import geometry, instants, ledger, reads, rules, texts, thermal  # noqa: F401  they register their queries
 from brightline.plans.registry import QUERIES, SQL, Query
 
 

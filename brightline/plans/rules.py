@@ -209,13 +209,13 @@ def val_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions(spark, sf_dir).withColumn("before", before).where("before = 'F'").select("chain", "version", F.concat_ws("-", "before", "l_linestatus").alias("step"))
 
 
-@query("val_registry", "SELECT 'dangling' AS why, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) UNION ALL SELECT 'duplicate', min(s_suppkey) FROM supplier GROUP BY s_name HAVING count(*) > 1 UNION ALL SELECT 'authority', s_suppkey FROM supplier WHERE s_acctbal < -900")
+@query("val_registry", "SELECT 'dangling' AS why, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) UNION ALL SELECT 'duplicate', min(s_suppkey) FROM supplier GROUP BY s_name HAVING count(*) > 1 UNION ALL SELECT 'authority', s_suppkey FROM supplier WHERE s_acctbal < 0")
 def val_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries that nothing refers to, that share a name, or that hold what their kind may not."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     unused = n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select(F.lit("dangling").alias("why"), F.col("n_nationkey").cast("long").alias("id"))
     twice = s.groupBy("s_name").agg(F.min("s_suppkey").alias("id"), F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("why"), "id")
-    return unused.unionByName(twice).unionByName(s.where("s_acctbal < -900").select(F.lit("authority").alias("why"), F.col("s_suppkey").alias("id")))
+    return unused.unionByName(twice).unionByName(s.where("s_acctbal < 0").select(F.lit("authority").alias("why"), F.col("s_suppkey").alias("id")))
 
 
 @query("val_scan_shape", f"WITH {DETECTIONS_SQL} SELECT event_id FROM det WHERE (product = 'click') <> (k < 50)")
@@ -268,10 +268,11 @@ def flt_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return public_view(revisions(spark, sf_dir)).join(open_, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("chain", "version")
 
 
-@query("txt_imperative", r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i)\b(move away|evacuate now|stay ready|follow the instructions)\b')")
+@query("txt_imperative", r"SELECT conv_id, turn, coalesce(regexp_matches(text, '(?i)\b(move away|evacuate now|stay ready|follow the instructions)\b'), FALSE) AS imperative FROM conversations")
 def txt_imperative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that tell people what to do."""
-    return table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"(?i)\b(move away|evacuate now|stay ready|follow the instructions)\b")).select("conv_id", "turn")
+    """Whether texts tell people what to do."""
+    says = F.col("text").rlike(r"(?i)\b(move away|evacuate now|stay ready|follow the instructions)\b")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(says, F.lit(False)).alias("imperative"))
 
 
 @query("txt_directive", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?im)^\s*(leave|go|stay|move)\b') AND NOT regexp_matches(text, '(?i)\b(must|should|have to|need to)\b')")
