@@ -346,6 +346,31 @@ def test_html(spark):
     assert got[3].text == got[4].text == "" and got[5].text.startswith("just") and got[6].n_chars == 149999
 
 
+PROSE = "The council met on Monday to hear what the engineers had found under the old bridge, and it was late before they had done."
+WRAPPED = [
+    ('<form id="aspnetForm">', "</form>"), ('<div class="content has-sidebar">', "</div>"), ('<div class="post has-comments">', "</div>"), ('<div id="post-share-wrapper">', "</div>"),
+    ('<div class="page-header-layout"><article>', "</article></div>"), ("<main>", "</main>"), ('<section class="no-sidebar widget-page">', "</section>"),
+]
+
+
+def test_html_of_wrapped_articles_and_open_boilerplate(spark):
+    menu = "<div><ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "World", "Sport", "Contact us")) + "</ul></div>"
+    body = f"<h1>Bridge closed</h1><p>{PROSE}</p><p>{PROSE} <a href='x'>More</a></p>"
+    text = f"Bridge closed {PROSE} {PROSE} More"
+    rows = [(i, "u", f"<body>{menu}{a}{body}{b}<div>&copy; 2024 Example Press. All rights reserved.</div></body>") for i, (a, b) in enumerate(WRAPPED)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i in range(len(WRAPPED))}
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<div>", "<p", "</b>", "<script>", "<!--", "<a href='x\">", "<div class='form'>"])
+def test_html_reads_hostile_pages_in_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
 def test_licenses_match_brute_force(spark, docs):
     r = random.Random(6)
     filler = lambda n: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=n))
