@@ -65,27 +65,34 @@ def labelled_page(r: random.Random) -> str:
     marked = r.random() < 0.5
     top = menu(r.randint(2, 8))
     top = f"<nav>{top}</nav>" if marked else f"<div>{top}</div>"
+    aside = lambda: r.choice(('<div class="ad">', '<section class="comments">', '<div id="cookie-banner">', "<aside>")) + text("b", 1, r.choice((6, 20, 120))) + "<br>"
+    if r.random() < 0.6:
+        top += f"<div>{aside()}</div>"
     if r.random() < 0.5:  # an advert or notice in the open, among links
         top += f"<div>{text('b', 3, 14)}{' &copy;' if r.random() < 0.4 else ''}</div>{menu(r.randint(1, 3))}"
+    before, after = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div id="page-wrapper"><section>', "</section></div>")))
     body = f"<h1>{text('m', 2, 12)}</h1>" if r.random() < 0.8 else ""
     for _ in range(r.randint(1, 9)):
         kind = r.random()
-        if kind < 0.7:
+        if kind < 0.3 and before in ("<article>", "<main>"):  # where the article is marked, all of it is main text
+            body += f"<p>{text('m', 1, r.choice((3, 20, 60)))}{' &copy;' if r.random() < 0.5 else ''}</p><p>{link(text('m', 1, 20)) if r.random() < 0.5 else text('m', 1, 3)}</p>"
+        elif kind < 0.4:
+            body += f"<div>{aside()}</div>"
+        elif kind < 0.7:
             linked = " " + link(" ".join(["w"] * r.randint(1, 4))) if r.random() < 0.3 else ""
             body += f"<p>{text('m', r.choice((1, 8, 25)), r.choice((30, 60, 120)))}{linked}</p>"
         elif kind < 0.8:
             body += f"<h2>{text('m', 1, 8)}</h2><p>{text('m', 10, 80)}</p>"
         else:
             body += "<ul>" + "".join(f"<li>{text('m', 1, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-    before, after = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div id="page-wrapper"><section>', "</section></div>")))
     end = ""
     if r.random() < 0.5:
         end += f"<div><h3>{text('b', 1, 3)}</h3>{menu(r.randint(3, 7))}</div>" if not marked else f"<aside><h3>{text('b', 1, 3)}</h3>{menu(4)}</aside>"
     if r.random() < 0.3:
         end += f'<div class="comments"><p>{text("b", 3, 60)}</p><p>{text("b", 3, 60)}</p></div>'
     if r.random() < 0.7:
-        foot = f"{text('b', 2, 14)} &copy;"
-        end += f"<footer>{foot}</footer>" if marked else f"<div>{foot}</div>"
+        foot = text("b", 2, 14)
+        end += f"<footer>{foot}</footer>" if marked else f"<div>{foot} &copy;</div>"
     return f"<body>{top}{before}{body}{after}{end}</body>"
 
 
