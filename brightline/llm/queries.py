@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, substring, suffixes
+from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, sql, substring, suffixes
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,4 +84,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the result; the other operators rest on hashes, suffix arrays or fitted models."""
+    return {"op2_ngram_join": sql.OP2, "op3_decontaminate": sql.OP3, "op5_substring_dedup": sql.OP5, "op9_suffix_dedup": sql.OP9}

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from brightline.functions.materialise import materialise
+from brightline.llm import queries
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -27,3 +31,13 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, TABLES).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
+    said = duck.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in said.description]
+    assert sorted(said.fetchall(), key=repr) == sorted((tuple(r) for r in queries.queries()[name](spark, TABLES).select(*columns).collect()), key=repr)
