@@ -44,8 +44,9 @@ def join_asof_bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_no_successor", f"""WITH {REVISIONS_SQL} SELECT chain, version FROM rev r WHERE shipped_s <= {LATER} AND NOT EXISTS (SELECT 1 FROM rev n WHERE n.chain = r.chain AND n.version = r.version + 1 AND n.shipped_s <= {LATER})""")
 def join_no_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions known by the cutoff whose successor isn't."""
-    r = revisions(spark, sf_dir).where(F.col("shipped_s") <= LATER).select("chain", "version")
-    return r.join(r.withColumn("version", F.col("version") - 1), ["chain", "version"], "left_anti")
+    w = Window.partitionBy("chain").orderBy("version")
+    r = revisions(spark, sf_dir).withColumn("next_s", F.lead("shipped_s").over(w))
+    return r.where((F.col("shipped_s") <= LATER) & (F.col("next_s").isNull() | (F.col("next_s") > LATER))).select("chain", "version")
 
 
 @query("join_asof_effective", f"""WITH {ORDERS_SQL}, {REVISIONS_SQL}, q AS (SELECT chain, version, h.o_custkey, shipped_s FROM rev JOIN orders h ON h.o_orderkey = chain WHERE version = 1),

@@ -28,7 +28,7 @@ def known_at():
 def thermal_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of detections of some cells and a week that the cutoff lets see, through an open gate, newest known first."""
     west, east = 10 / 128 * 360.0 - 180, 91 / 128 * 360.0 - 180
-    d = detections(spark, sf_dir).where((F.col("glon") >= west) & (F.col("glon") < east) & cell_y().between(20, 100))
+    d = detections(spark, sf_dir, AS_OF - WEEK, AS_OF).where((F.col("glon") >= west) & (F.col("glon") < east) & cell_y().between(20, 100))
     d = d.where((F.col("acquired_s") > AS_OF - WEEK) & (F.col("acquired_s") <= AS_OF) & (F.col("product") != "error"))
     d = d.withColumn("known_s", known_at()).where(F.col("known_s") <= AS_OF).select("event_id", "known_s", "frp")
     return keyset_page(d, [("known_s", True), ("event_id", True)], None, PAGE)

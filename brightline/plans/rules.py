@@ -56,9 +56,9 @@ def rule_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("event_id", F.coalesce(F.try_element_at(order, scan_result()), F.lit(4)).alias("place"))
 
 
-@query("rule_source_freshness", f"""WITH {DETECTIONS_SQL}, h AS (SELECT satellite, product, max(acquired_s) FILTER (WHERE k < 60) AS ok_s, max(acquired_s) FILTER (WHERE k >= 60) AS bad_s, max(k) AS top FROM det WHERE acquired_s <= {AS_OF} GROUP BY 1, 2)
+@query("rule_freshness", f"""WITH {DETECTIONS_SQL}, h AS (SELECT satellite, product, max(acquired_s) FILTER (WHERE k < 60) AS ok_s, max(acquired_s) FILTER (WHERE k >= 60) AS bad_s, max(k) AS top FROM det WHERE acquired_s <= {AS_OF} GROUP BY 1, 2)
 SELECT satellite, product, CASE WHEN product = 'click' THEN 'disabled' WHEN satellite = 'S2' AND product = 'view' THEN 'unconfigured' WHEN ok_s IS NULL THEN 'never' WHEN {AS_OF} - ok_s > {STALE} THEN 'stale' WHEN bad_s > ok_s THEN 'failed' ELSE 'healthy' END AS state FROM h""")
-def rule_source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freshness of each source in its eight states."""
     ok, bad = F.max(F.when(F.col("k") < 60, F.col("acquired_s"))), F.max(F.when(F.col("k") >= 60, F.col("acquired_s")))
     h = detections(spark, sf_dir).where(F.col("acquired_s") <= AS_OF).groupBy("satellite", "product").agg(ok.alias("ok_s"), bad.alias("bad_s"))

@@ -114,7 +114,7 @@ def _window(name: str, low: int, closed_low: bool, high: int) -> None:
     @query(name, f"WITH {DETECTIONS_SQL} SELECT event_id, acquired_s FROM det WHERE acquired_s {op} {low} AND acquired_s <= {high}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = F.col("acquired_s")
-        return detections(spark, sf_dir).where(((at >= low) if closed_low else (at > low)) & (at <= high)).select("event_id", "acquired_s")
+        return detections(spark, sf_dir, low, high).where(((at >= low) if closed_low else (at > low)) & (at <= high)).select("event_id", "acquired_s")
 
 
 _window("flt_win_rolling", AS_OF - DAY, True, AS_OF)
@@ -125,13 +125,13 @@ _window("flt_win_7d_closed", AS_OF - WEEK, True, AS_OF)
 
 @query("flt_known_at", f"WITH {DETECTIONS_SQL} SELECT event_id FROM det WHERE greatest(acquired_s, retrieved_s, recorded_s) <= {AS_OF}")
 def flt_known_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).where(F.greatest("acquired_s", "retrieved_s", "recorded_s") <= AS_OF).select("event_id")
+    return detections(spark, sf_dir, until=AS_OF).where(F.greatest("acquired_s", "retrieved_s", "recorded_s") <= AS_OF).select("event_id")
 
 
 @query("flt_overlap", f"WITH {DETECTIONS_SQL} SELECT event_id FROM det WHERE retrieved_s >= {AS_OF - 3600} AND acquired_s <= {AS_OF}")
 def flt_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals from acquisition to retrieval that meet the window, touching included."""
-    return detections(spark, sf_dir).where((F.col("retrieved_s") >= AS_OF - 3600) & (F.col("acquired_s") <= AS_OF)).select("event_id")
+    return detections(spark, sf_dir, until=AS_OF).where((F.col("retrieved_s") >= AS_OF - 3600) & (F.col("acquired_s") <= AS_OF)).select("event_id")
 
 
 @query("set_dedupe_first", f"WITH {DEDUPED} SELECT event_id, delivery FROM one")
@@ -351,12 +351,3 @@ def prj_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str_humanize", "SELECT DISTINCT event_type, upper(substr(replace(event_type, '_', ' '), 1, 1)) || substr(replace(event_type, '_', ' '), 2) AS label FROM events")
 def str_humanize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", values.humanize(F.col("event_type")).alias("label")).distinct()
-
-
-@query("rule_freshness", f"""WITH {DETECTIONS_SQL}, h AS (SELECT satellite, product, max(acquired_s) AS last_s, CAST(count(*) AS BIGINT) AS n FROM det WHERE acquired_s <= {AS_OF} GROUP BY 1, 2)
-SELECT satellite, product, CASE WHEN n < 10 THEN 'never' WHEN {AS_OF} - last_s > 10800 THEN 'stale' WHEN product = 'error' THEN 'failed' ELSE 'healthy' END AS state FROM h""")
-def rule_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered freshness rules over the last observation of each source."""
-    h = detections(spark, sf_dir).where(F.col("acquired_s") <= AS_OF).groupBy("satellite", "product").agg(F.max("acquired_s").alias("last_s"), F.count("*").alias("n"))
-    state = F.when(F.col("n") < 10, "never").when(F.lit(AS_OF) - F.col("last_s") > 10800, "stale").when(F.col("product") == "error", "failed").otherwise("healthy")
-    return h.select("satellite", "product", state.alias("state"))

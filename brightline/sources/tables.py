@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,21 @@ def epoch_seconds(ts) -> F.Column:
     return F.unix_seconds(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point detections from events: product, satellite, clocks in epoch seconds, local (lat, lon) and global (glat, glon) places."""
+def instant(seconds: int) -> F.Column:
+    """A literal to compare with the tables' timestamps, which have no zone, so that the bound reaches the scan."""
+    return F.lit(datetime.fromtimestamp(seconds, UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
+def detections(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Point detections from events: product, satellite, clocks in epoch seconds, local (lat, lon) and global (glat, glon) places.
+
+    since, until: seconds that bound acquired_s; given here they also prune what is read.
+    """
     e = table(spark, sf_dir, "events")
+    if since is not None:
+        e = e.where(F.col("ts") >= instant(since))
+    if until is not None:
+        e = e.where(F.col("ts") < instant(until + 60))
     at = epoch_seconds("ts")
     return e.select(
         "event_id", F.col("event_type").alias("product"), F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("satellite"),
@@ -40,10 +54,11 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revision chains from lineitem: chain key, version from 1, ship time, and content."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem")
+    # Named before the window, so that what groups by chain afterwards needs no shuffle of its own.
+    order = Window.partitionBy("chain").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "chain")
     return li.select(
-        F.col("l_orderkey").alias("chain"), F.row_number().over(order).alias("version"), epoch_seconds("l_shipdate").alias("shipped_s"),
+        "chain", F.row_number().over(order).alias("version"), epoch_seconds("l_shipdate").alias("shipped_s"),
         "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity"), "l_returnflag", "l_linestatus",
     )
 
