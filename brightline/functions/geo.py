@@ -28,7 +28,8 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlon = F.radians(lon_delta(lon1, lon2))
     a, b = F.radians(lat1), F.radians(lat2)
     y, x = F.sin(dlon) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(dlon)
-    return F.when(x * x + y * y > 1e-24, F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0)))
+    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(dlon / 2), 2)
+    return F.when((x * x + y * y > 1e-24) & (1 - h > 1e-15), F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0)))
 
 
 def destination(lat: Column, lon: Column, degrees: Column, km: Column) -> tuple[Column, Column]:

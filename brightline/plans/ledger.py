@@ -254,12 +254,6 @@ def rule_publication_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions(spark, sf_dir).where(F.col("shipped_s") <= LATER).groupBy("chain").agg((F.max_by("l_returnflag", "version") == "N").alias("is_current"))
 
 
-@query("rule_temporal", f"""WITH {ORDERS_SQL} SELECT o_orderkey, CASE WHEN effective_s <= {CUT} THEN 'accepted' WHEN effective_s <= {LATER} THEN 'quarantined' ELSE 'rejected' END AS state FROM ord""")
-def rule_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("effective_s")
-    return orders(spark, sf_dir).select("o_orderkey", F.when(at <= CUT, "accepted").when(at <= LATER, "quarantined").otherwise("rejected").alias("state"))
-
-
 @query("incidents_view", f"""WITH {ORDERS_SQL}, l AS (SELECT o_custkey, max(effective_s) AS last_s, CAST(count(*) AS BIGINT) AS n FROM ord GROUP BY 1) SELECT c_custkey, c_name, n_name, last_s, coalesce(n, 0) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN l ON o_custkey = c_custkey""")
 def incidents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = orders(spark, sf_dir).groupBy("o_custkey").agg(F.max("effective_s").alias("last_s"), F.count("*").alias("n"))
@@ -292,9 +286,9 @@ def str_tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"(?i)<a\s+href")).alias("n_links"))
 
 
-@query("flt_url", r"SELECT page_id, regexp_matches(url, '^https?://[^/\s]+') AS safe, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages")
+@query("flt_url", r"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/\s]+') AS safe, lower(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1)) AS host FROM pages")
 def flt_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike(r"^https?://[^/\s]+").alias("safe"), F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike(r"(?i)^https?://[^/\s]+").alias("safe"), F.lower(F.regexp_extract("url", r"(?i)^https?://([^/?#]+)", 1)).alias("host"))
 
 
 @query("txt_relevance", r"SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text), '\b(the|and|of)\b') AND regexp_matches(lower(text), '\b(license|licensed|token)\b')")

@@ -148,6 +148,13 @@ def rule_provenance():
     ))}
 
 
+@per_row("rule_temporal", "det", "event_id", {"state": f"CASE WHEN k < 3 OR retrieved_s < acquired_s THEN 'rejected' WHEN acquired_s > {AS_OF} + 300 THEN 'quarantined' ELSE 'accepted' END"})
+def rule_temporal():
+    """Times without a value, or out of order, are rejected; those more than five minutes ahead of the clock wait."""
+    at = F.when(F.col("k") >= 3, F.col("acquired_s"))
+    return {"state": states.first_of([(at.isNull() | (F.col("retrieved_s") < at), "rejected"), (at > AS_OF + 300, "quarantined")], "accepted")}
+
+
 @query("rule_threshold_cross", f"""WITH {REVISIONS_SQL}, w AS (SELECT chain, version, quantity, lag(quantity) OVER (PARTITION BY chain ORDER BY version) AS before FROM rev)
 SELECT chain, version, CASE WHEN quantity >= 45 THEN 45 WHEN quantity >= 35 THEN 35 ELSE 25 END AS level FROM w WHERE before IS NOT NULL AND quantity >= 25 AND CASE WHEN quantity >= 45 THEN 45 WHEN quantity >= 35 THEN 35 ELSE 25 END > CASE WHEN before >= 45 THEN 45 WHEN before >= 35 THEN 35 WHEN before >= 25 THEN 25 ELSE 0 END""")
 def rule_threshold_cross(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,9 +287,16 @@ def join_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(cells, ["x", "y"]).select("event_id", "x", "y", "in_cell")
 
 
-@query("hash_natural_key", f"""WITH {DETECTIONS_SQL} SELECT event_id, sha256(product || '|' || satellite || '|' || acquired_s || '|' || (event_id * 37 % 400) || '|' || (event_id * 73 % 500)) AS natural_key FROM det""")
+KEY_SQL = "product || '|' || satellite || '|' || acquired_s || '|' || printf('%.4f', round(lat, 4)) || '|' || printf('%.4f', round(lon, 4)) || '|' || printf('%.3f', round(scan, 3)) || '|' || coalesce(printf('%.3f', round(CASE WHEN k > 5 THEN track END, 3)), 'null')"
+
+
+@query("hash_natural_key", f"WITH {DETECTIONS_SQL} SELECT event_id, sha256({KEY_SQL}) AS natural_key FROM det")
 def hash_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = ["product", "satellite", F.col("acquired_s").cast("string"), (F.col("event_id") * 37 % 400).cast("string"), (F.col("event_id") * 73 % 500).cast("string")]
+    """Product, satellite, time, place at four decimals and pixel size at three; what is unknown has the token null."""
+    fixed = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", F.when(c.isNotNull(), F.round(c, n))), F.lit("null"))
+    track = F.when(F.col("k") > 5, F.col("track"))
+    size = F.when(track.isNull(), "null").otherwise(fixed(track, 3))
+    parts = ["product", "satellite", F.col("acquired_s").cast("string"), fixed(F.col("lat"), 4), fixed(F.col("lon"), 4), fixed(F.col("scan"), 3), size]
     return detections(spark, sf_dir).select("event_id", F.sha2(F.concat_ws("|", *parts), 256).alias("natural_key"))
 
 

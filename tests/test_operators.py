@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from brightline.functions import geo, values
@@ -48,3 +49,31 @@ def test_values(spark):
     assert [r[0] for r in df.select(values.finite_strict(F.col("s"))).collect()] == [1.5, None, -0.5, None]
     df = spark.createDataFrame([(-2.5,), (2.5,), (0.125,)], "x double")
     assert [r[0] for r in df.select(values.js_round(F.col("x"))).collect()] == [-2.0, 3.0, 0.0]
+
+
+def test_bearing_between_antipodes_is_null(spark):
+    from brightline.functions import geo
+
+    rows = spark.createDataFrame([(0.0, 0.0, 0.0, 180.0), (0.0, 0.0, 0.000001, 180.0), (10.0, 20.0, 10.0, 20.0), (0.0, 0.0, 0.0, 90.0), (0.0, 0.0, 1.0, 179.0)], "a double, b double, c double, d double")
+    got = [r.x for r in rows.select(geo.bearing(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).collect()]
+    assert got[:3] == [None, None, None] and got[3] == pytest.approx(90.0) and got[4] is not None
+
+
+def test_strict_fields():
+    from brightline.functions.parsing import decoded, strict_fields
+
+    assert strict_fields('a,"b ""c"", d",') == ["a", 'b "c", d', ""] and strict_fields("") == [""]
+    assert [strict_fields(x) for x in ('a"b', '"a" b', '"a', None)] == [None] * 4
+    assert decoded("&#0;&#x110000;&lt;&zz;<![CDATA[<&amp;]]>") == "��<<&" and decoded(None) is None
+
+
+def test_small_functions_on_odd_values(spark):
+    from brightline.functions import instants, values
+
+    text = spark.createDataFrame([("2024-03-31T01:00:00Z",), ("2024-02-30T01:00:00Z",), ("2024-01-01T00:00:00+14:01",), ("",), (None,), ("12",)], "t string")
+    assert [r.x for r in text.select(instants.zoned_instant(F.col("t")).alias("x")).collect()] == [1711846800, None, None, None, None, None]
+    assert [r.x for r in text.select(instants.mixed_instant(F.col("t")).alias("x")).collect()][-1] == 12
+    numbers = spark.createDataFrame([(" 1e3 ",), ("NaN",), ("-Infinity",), ("",), (None,), ("0x1",)], "t string")
+    assert [r.x for r in numbers.select(values.finite(F.col("t")).alias("x")).collect()] == [1000.0, None, None, None, None, None]
+    walls = spark.createDataFrame([(1698550200,), (1698540000,), (1679801400,)], "w long")  # an hour shown twice, one shown once, one never shown
+    assert [r.x for r in walls.select(instants.wall_instant(F.col("w")).alias("x")).collect()] == [None, 1698540000 - 10800, None]
