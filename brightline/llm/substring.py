@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightline.functions.materialise import materialise
+from brightline.functions.materialise import discard, materialise
 from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
 from brightline.llm.common import gram_hashes, word_hashes
 
@@ -106,7 +106,9 @@ def posted_runs(texts: DataFrame) -> DataFrame:
 def later_starts(runs: DataFrame) -> DataFrame:
     """doc_id and starts: the sorted starts of runs that start earlier too."""
     first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(first.select("run", "first"), "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    # Written, so that both sides of the join are plain shuffles and Spark can split a run that very many documents hold.
+    first = materialise(first.select("run", "first"), "first")
+    later = runs.join(first, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
 
 
@@ -141,8 +143,12 @@ def dedup_phrases(docs: DataFrame) -> DataFrame:
     scanned = scan(docs, look, "phrases")
     one = materialise(classes(scanned), "classes")
     again = recurring(scanned, one)
+    wide, scanned = scanned, materialise(scanned.select("doc_id", "sha", "size"), "sizes")
+    discard(wide)
     runs = materialise(posted_runs(once(texts, scanned).join(again, "doc_id")), "runs")
+    discard(again)
     later = materialise(later_starts(runs), "later")
+    discard(runs)
     cut = without_runs(texts.join(later, "doc_id")).drop("kept")
     rows = scanned.select("doc_id", "sha", F.col("size").alias("n_words"))
     mine = scanned.where("doc_id is not null").groupBy("doc_id").agg(F.min("sha").alias("sha"))
