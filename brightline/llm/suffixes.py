@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightline.functions.materialise import materialise
+from brightline.functions.materialise import discard, materialise
 from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
 from brightline.llm.common import mix, powers, prefix_hash
 
@@ -259,8 +259,11 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     scanned = scan(docs, look, "grams")
     one = materialise(classes(scanned), "classes")
     again = recurring(scanned, one)
+    wide, scanned = scanned, materialise(scanned.select("doc_id", "sha", "size"), "sizes")
+    discard(wide)
     posted = posted_segments(once(texts, scanned).join(again, "doc_id")).withColumn("mark", F.xxhash64("segment"))
     posted = materialise(posted, "segments")
+    discard(again)
     distinct = posted.groupBy("anchor", "mark", "segment").agg(F.count("*").alias("n"))
     crowded = posted.groupBy("anchor").agg(F.approx_count_distinct("mark", 0.02).alias("marks")).where(F.col("marks") > MOST_SEGMENTS).select("anchor")
     crowded = materialise(crowded, "crowded")
@@ -270,7 +273,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         places, found = _with_crowded(posted, distinct, crowded)
     strings = places.join(materialise(found, "repeats"), ["anchor", "mark"]).select("doc_id", "start", F.explode("spans").alias("s"))
     strings = strings.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last"))).alias("strings"))
-    cut = without_strings(texts.join(materialise(strings, "strings"), "doc_id")).drop("kept")
+    strings = materialise(strings, "strings")
+    discard(posted)
+    cut = without_strings(texts.join(strings, "doc_id")).drop("kept")
     rows = scanned.select("doc_id", "sha", F.col("size").alias("n_bytes"))
     mine = scanned.where("doc_id is not null").groupBy("doc_id").agg(F.min("sha").alias("sha"))
     mine = mine.join(one, "sha").select("doc_id", "sha", (F.col("copies") > 1).alias("copied"))
