@@ -3,9 +3,10 @@
 A run of 20 words that starts earlier too (in a document of smaller doc_id, or before in the same one) is removed.
 
 1. Anchors, phrases of PHRASE_WORDS words chosen by content, are counted over all documents; those that recur confirm
-   where passages may recur. Documents with equal words are looked at once: the later ones are removed whole.
+   where passages may recur. No document says more of a phrase than its first two places, so that one which fills
+   a document, or all of them, is few rows. Documents with equal words are looked at once: the later ones are removed whole.
 2. Documents with recurring phrases are streamed, shard by shard, through an Aho-Corasick automaton (over word numbers)
-   of their shard's recurring phrases; it locates every occurrence, and the runs anchored there are posted by hash.
+   of their shard's recurring phrases; it locates every occurrence, those after the second only here, and the runs anchored there are posted by hash.
 3. Postings with one run hash give its first start; every other start is sent to its document, whose words
    that such runs cover are removed.
 
@@ -42,10 +43,14 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def look(text: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
-    """Number of words, digest of the words, places and hashes of the anchor phrases."""
+    """Number of words, digest of the words, the first two places of each anchor phrase and their hashes."""
     words = words_of(text)
     grams = gram_hashes(word_hashes(np.frombuffer(text, np.uint8)), PHRASE_WORDS)
     at = np.unique(anchor_of_runs(grams, RUN_WORDS, PHRASE_WORDS))
+    at = at[np.argsort(grams[at], kind="stable")]
+    third = np.zeros(len(at), bool)
+    third[2:] = grams[at[2:]] == grams[at[:-2]]
+    at = np.sort(at[~third])
     return len(words), hashlib.sha256(b" ".join(words)).digest(), at, grams[at]
 
 
