@@ -85,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the other operators rest on hashes, suffix arrays or fitted models."""
-    return {"op2_ngram_join": sql.OP2, "op3_decontaminate": sql.OP3, "op5_substring_dedup": sql.OP5, "op9_suffix_dedup": sql.OP9}
+    return {"op2_ngram_join": sql.OP2, "op3_decontaminate": sql.OP3, "op5_substring_dedup": sql.OP5, "op7_mixing": sql.OP7, "op9_suffix_dedup": sql.OP9}

@@ -47,3 +47,20 @@ OP9 = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_l
   sums AS (SELECT doc_id, count(*) AS n_spans, sum(e - s + 1) AS n_removed FROM spans GROUP BY doc_id)
 SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
 FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN sums ON sums.doc_id = b.doc_id"""
+
+
+OP7 = r"""WITH labelled AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+  d AS (SELECT d.doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST(CASE WHEN quality >= 1 THEN 1.0 WHEN quality <= 0 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS weight FROM documents d LEFT JOIN labelled USING (doc_id)),
+  k AS (SELECT *, -ln((CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE)) / weight AS key FROM d),
+  s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM k GROUP BY source),
+  w AS (SELECT *, CAST([5, 2, 1][(turn - 1) % 3 + 1] AS DOUBLE) AS share, 2 * source_size AS cap FROM s),
+  o AS (SELECT *, row_number() OVER (ORDER BY cap / share, turn) AS place FROM w),
+  tried AS (SELECT x.place, ((SELECT 1.5 * sum(source_size) FROM o) - coalesce(sum(y.cap) FILTER (y.place < x.place), 0)) / sum(y.share) FILTER (y.place >= x.place) AS level
+    FROM o x CROSS JOIN o y GROUP BY x.place),
+  met AS (SELECT min_by(level, place) AS level FROM tried JOIN o USING (place) WHERE cap / share >= level),
+  t AS (SELECT source, source_size, least(cap, coalesce(level * share, cap)) AS target FROM o CROSS JOIN met),
+  r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(size * (epochs + CASE WHEN epochs < 2 AND middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""

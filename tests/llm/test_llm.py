@@ -7,11 +7,13 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from brightline.llm import (
-    components, decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, substring, suffixes,
+    components, decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, sql, substring, suffixes,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,6 +172,21 @@ def test_substring_dedup_matches_brute_force(docs):
     assert any(v[1] for v in expected.values())
 
 
+def test_automaton_locates_what_anchors_do_not_say(spark):
+    r = random.Random(8)
+    prose = lambda k: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(k))
+    passage = prose(40)
+    rows = [(1, " ".join(f"{prose(25)} {passage}" for _ in range(6))), (2, prose(50) + " " + passage), (3, prose(90)), (4, " ".join(["la"] * 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_phrases(docs).collect()} == {1: 200, 2: 40, 3: 0, 4: 399}
+
+    for text in (rows[0][1], rows[3][1]):
+        _, _, at, grams = substring.look(text.encode())
+        assert max(collections.Counter(grams.tolist()).values()) == 2
+        words = substring.words_of(text.encode())
+        assert substring.located(words, *substring.phrase_automaton([(words, at.tolist())])).sum() > len(at)
+
+
 def test_two_stage_order_sorts():
     r = random.Random(3)
     for _ in range(60):
@@ -228,6 +245,19 @@ def test_mixing_meets_its_targets(spark, docs):
     assert mixing.mix_sources(docs.limit(0), labels).count() == 0
 
 
+def test_mixing_equals_its_sql(spark, docs):
+    labels = [(0, 1), (1, 0), (1, 0), (None, 1), (2, None), (9, 1), (9, 0), (14, 0)]
+    frame = pd.DataFrame(docs.select("doc_id", "text", "source").collect(), columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents AS SELECT * FROM frame")
+    duck.execute("CREATE TABLE labels (doc_id BIGINT, quality INT)")
+    duck.executemany("INSERT INTO labels VALUES (?, ?)", labels)
+    got = mixing.mix_sources(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = collections.Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got.collect())
+    said = duck.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({sql.OP7})").fetchall()
+    assert got == collections.Counter((*r[:3], round(r[3], 6), r[4]) for r in said)
+
+
 def test_quality_keeps_good_text(spark):
     r = random.Random(2)
     good = lambda: " ".join(r.choices(["river", "stone", "light", "house", "morning", "garden", "window", "winter"], k=60))
