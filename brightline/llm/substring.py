@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from brightline.functions.materialise import discard, materialise
 from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
-from brightline.llm.common import gram_hashes, word_hashes
+from brightline.llm.common import gram_hashes, mix, word_hashes
 
 RUN_WORDS = 20
 PHRASE_WORDS = 8
-#: Distinct phrases that one automaton holds, about 60 MB; a shard's documents are streamed in chunks of that many phrases.
-AUTOMATON_PHRASES = 50_000
+#: Letters for each digit of a word's number in an automaton.
+BASE = 128
+#: Phrases that one automaton holds, some tens of MB; a shard's documents are streamed in chunks of that many phrases.
+AUTOMATON_PHRASES = 20_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -46,7 +48,8 @@ def look(text: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
     """Number of words, digest of the words, the first two places of each anchor phrase and their hashes."""
     words = words_of(text)
     grams = gram_hashes(word_hashes(np.frombuffer(text, np.uint8)), PHRASE_WORDS)
-    at = np.unique(anchor_of_runs(grams, RUN_WORDS, PHRASE_WORDS))
+    at = anchor_of_runs(grams, RUN_WORDS, PHRASE_WORDS)  # never falls from one run to the next
+    at = at[np.diff(at, prepend=-1) > 0]
     at = at[np.argsort(grams[at], kind="stable")]
     third = np.zeros(len(at), bool)
     third[2:] = grams[at[2:]] == grams[at[:-2]]
@@ -54,26 +57,42 @@ def look(text: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
     return len(words), hashlib.sha256(b" ".join(words)).digest(), at, grams[at]
 
 
-def phrase_automaton(texts: list[tuple[list[bytes], list[int]]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """An automaton over word numbers of the phrases that start at the given places, and the numbers of their words (from 1)."""
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+def digits(number: int) -> str:
+    """A word's number as three letters, each place of digits with letters of its own, so that nothing matches across words."""
+    return chr(number % BASE) + chr(BASE + number // BASE % BASE) + chr(2 * BASE + number // BASE**2)
+
+
+def phrase_automaton(texts: list[tuple[list[bytes], list[int]]]) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
+    """An automaton of the phrases that start at the given places, and the numbers (from 1) of their words.
+
+    It searches the children of a node one after the other: with digits for letters, none has more than BASE or so, not even the root.
+    """
+    numbers: dict[bytes, str] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for words, places in texts:
         for at in places:
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words[at : at + PHRASE_WORDS]))
+            automaton.add_word("".join([numbers.get(w) or numbers.setdefault(w, digits(len(numbers) + 1)) for w in words[at : at + PHRASE_WORDS]]))
     automaton.make_automaton()
     return automaton, numbers
 
 
-def located(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[bytes, int]) -> np.ndarray:
+def located(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[bytes, str]) -> np.ndarray:
     """For each place, whether a recurring phrase starts there."""
     found = np.zeros(len(words) + 1, bool)
-    get = numbers.get
-    for end, _ in automaton.iter(tuple([get(w, 0) for w in words])):
-        found[end - PHRASE_WORDS + 1] = True
+    get, unknown = numbers.get, digits(0)
+    ends = [end for end, _ in automaton.iter("".join([get(w, unknown) for w in words]))]
+    found[(np.array(ends, np.int64) + 1) // 3 - PHRASE_WORDS] = True
     return found
 
 
+def run_hashes(phrases: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN_WORDS words at starts, of the hashes of the phrases that cover each of them."""
+    out = np.zeros(len(starts), np.uint64)
+    for at in (*range(0, RUN_WORDS - PHRASE_WORDS, PHRASE_WORDS), RUN_WORDS - PHRASE_WORDS):
+        out = mix(out * np.uint64(0x2545F4914F6CDD1D) + phrases[starts + at])
+    return out
+
+
 def posted_runs(texts: DataFrame) -> DataFrame:
     """run (hash), doc_id and start of every run whose anchor is a recurring phrase. texts: doc_id, text, sha, at."""
 
@@ -82,9 +101,9 @@ def posted_runs(texts: DataFrame) -> DataFrame:
         runs, ids, starts = [], [], []
         for doc_id, text, words, _ in chunk:
             hashes = word_hashes(np.frombuffer(text, np.uint8))
-            anchor = anchor_of_runs(gram_hashes(hashes, PHRASE_WORDS), RUN_WORDS, PHRASE_WORDS)
-            hit = np.flatnonzero(located(words, automaton, numbers)[anchor])
-            runs.append(gram_hashes(hashes, RUN_WORDS)[hit].view(np.int64))
+            phrases = gram_hashes(hashes, PHRASE_WORDS)
+            hit = np.flatnonzero(located(words, automaton, numbers)[anchor_of_runs(phrases, RUN_WORDS, PHRASE_WORDS)])
+            runs.append(run_hashes(phrases, hit).view(np.int64))
             ids.append(np.full(len(hit), doc_id))
             starts.append(hit.astype(np.int32))
         columns = [pa.array(np.concatenate(x)) for x in (runs, ids, starts)]
