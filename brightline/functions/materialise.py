@@ -12,8 +12,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, and only
-    where that is unset (tests on one machine) a folder under /tmp/checkpoints."""
-    return (spark.conf.get(CHECKPOINT_KEY, None) or "/tmp/checkpoints").rstrip("/")
+    where that is unset and the master is local (tests on one machine) a folder under /tmp/checkpoints."""
+    given = spark.conf.get(CHECKPOINT_KEY, None)
+    if not given and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
+    return (given or "/tmp/checkpoints").rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

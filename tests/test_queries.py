@@ -40,3 +40,26 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_queries_stay_without_the_training_data_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "brightline.llm", None)
+    with pytest.warns(UserWarning, match="training-data"):
+        assert set(entry.queries()) == set(catalogue.queries())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from brightline.functions.materialise import CHECKPOINT_KEY, shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert shared_dir(Session(**{CHECKPOINT_KEY: "hdfs:/shared/", "spark.master": "yarn"})) == "hdfs:/shared"
+    assert shared_dir(Session(**{"spark.master": "local[2]"})).startswith("/tmp")
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Session(**{"spark.master": "spark://host:7077"}))
