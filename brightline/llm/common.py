@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n names of columns that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    return [x for i in range(len(taken) + n) if (x := f"own_{i}") not in taken][:n]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base of the rolling hash, and of its inverse (modulo 2**64)."""
     if _powers["n"] < n:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightline.llm import decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, sql, substring, suffixes
+from brightline.llm import (
+    conversation_trie, decontaminate, html_text, hyper_minhash, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, source_audit, sql, substring, suffixes,
+)
 from brightline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs.select("doc_id", "text"), model).select("doc_id", "log_weight", "key")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the terms of every source differ from each other source of its language, and from the language."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that four-word shingle similarity of 0.8 or more puts it in."""
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, each with turns lent by the first of its family."""
+    return conversation_trie.trie(conversation_trie.paths(table(spark, sf_dir, "conversations"), conversation_trie.lent_turns))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_permutation_index": op1_permutation_index,
@@ -80,9 +97,15 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
+        "op11_source_audit": op11_source_audit,
+        "op12_hyper_minhash": op12_hyper_minhash,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the other operators rest on hashes, suffix arrays or fitted models."""
-    return {"op2_ngram_join": sql.OP2, "op3_decontaminate": sql.OP3, "op5_substring_dedup": sql.OP5, "op7_mixing": sql.OP7, "op9_suffix_dedup": sql.OP9}
+    return {
+        "op2_ngram_join": sql.OP2, "op3_decontaminate": sql.OP3, "op5_substring_dedup": sql.OP5, "op7_mixing": sql.OP7, "op9_suffix_dedup": sql.OP9,
+        "op11_source_audit": sql.OP11, "op12_hyper_minhash": sql.OP12, "op13_conversation_trie": sql.OP13,
+    }

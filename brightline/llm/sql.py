@@ -64,3 +64,43 @@ OP7 = r"""WITH labelled AS (SELECT doc_id, max(quality) AS quality FROM labels G
     sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(size * (epochs + CASE WHEN epochs < 2 AND middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
+OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+  groups AS (SELECT DISTINCT lang, source FROM d),
+  w AS (SELECT row, lang, source, unnest(ws) AS term FROM d),
+  kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+  v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  own AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  ps AS (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + 2 * v) AS p FROM own JOIN v USING (lang)),
+  whole AS (SELECT lang, term, sum(n) AS n FROM own GROUP BY lang, term),
+  qs AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * CAST(n + 2 AS HUGEINT) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + 2 * v) AS q FROM whole JOIN v USING (lang)),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+  pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+  term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM ps JOIN qs USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+OP12 = OP2.replace("ws[i : i + 4]", "ws[i : i + 3]").replace("len(ws) - 4)", "len(ws) - 3)").replace(
+    " AS component_id\nFROM", " AS component_id, least(d.doc_id, coalesce(met, d.doc_id)) = d.doc_id AS kept\nFROM"
+)
+
+_BIT = "xor(c >> 1, 3988292384 * (c & 1))"
+OP13 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS family FROM t),
+  crc AS (SELECT conv_id, family, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, s: list_reduce([xor(a, s), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {_BIT})), 4294967295) % 9 AS h FROM c),
+  lent AS (SELECT crc.conv_id, place, role, text FROM crc JOIN t ON t.conv_id = family AND place <= h UNION ALL SELECT crc.conv_id, place, role, text FROM crc JOIN t ON t.conv_id = crc.conv_id AND place > h),
+  items AS (SELECT conv_id, octet_length(encode(text)) AS bytes, sha256(octet_length(encode(role)) || ':' || role || text) AS item, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS d FROM lent),
+  whole AS (SELECT c.conv_id, coalesce(list(item ORDER BY d) FILTER (item IS NOT NULL), []) AS path, coalesce(list(bytes ORDER BY d) FILTER (item IS NOT NULL), []) AS sizes FROM c LEFT JOIN items USING (conv_id) GROUP BY c.conv_id),
+  steps AS (SELECT conv_id, d AS depth, array_to_string(path[1 : d], ',') AS node, CASE WHEN d > 0 THEN array_to_string(path[1 : d - 1], ',') END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, d = len(path) AS last
+    FROM whole, unnest(generate_series(0, len(path))) AS s(d)),
+  nodes AS (SELECT node, depth, min(up) AS up, min(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM steps GROUP BY node, depth),
+  kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+  full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (node)),
+  above AS (SELECT DISTINCT s.node AS below, u.node AS node FROM steps s JOIN steps u ON u.conv_id = s.conv_id AND u.depth <= s.depth),
+  sums AS (SELECT a.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM above a JOIN full_nodes n ON n.node = a.below GROUP BY a.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN sums USING (node) LEFT JOIN nodes p ON p.node = n.up"""

@@ -36,7 +36,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
     said = duck.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in said.description]
