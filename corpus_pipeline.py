@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brightline.functions.materialise import materialise
 from brightline.llm import decontaminate, mixing, ngram_join, quality, secret_scan
-from brightline.llm.common import table
+from brightline.llm.common import free_names, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones keeps."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.resample(docs, model, log_weight="__log_weight", key="__key").drop("__log_weight", "__key")
+    weight, key = free_names(docs, 2)
+    return quality.resample(docs, model, log_weight=weight, key=key).drop(weight, key)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
