@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightline.plans.registry import query
 from brightline.streaming import steps
-from brightline.streaming.sources import drained, stream_of
+from brightline.streaming.sources import drained, drained_and_closed, stream_of
+
+#: How far a row may be behind the latest one and still count: files may come in any order within it.
+LATE = "60 days"
 
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,23 +22,41 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_dedupe_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of the same events as one stream, each event once."""
     both = timed(spark, sf_dir).union(timed(spark, sf_dir))
-    return drained(steps.without_repeats(both, ["event_id"], "at", "1 day"), "append", "dedupe").select("event_id", "event_type")
+    return drained(steps.without_repeats(both, ["event_id"], "at", LATE), "append", "dedupe").select("event_id", "event_type")
 
 
 @query("st_tumbling_stream", "SELECT event_type, CAST(epoch_us(ts) // 300000000 * 300 AS BIGINT) AS start_s, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def st_tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of five minutes as a stream in update mode: the last batch that has a window tells its count."""
-    out = drained(steps.tumbling_counts(timed(spark, sf_dir), ["event_type"], "at", "5 minutes", "60 days"), "update", "tumbling")
+    out = drained(steps.tumbling_counts(timed(spark, sf_dir), ["event_type"], "at", "5 minutes", LATE), "update", "tumbling")
     return out.groupBy("event_type", "start_s").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("st_session_stream")
+@query("st_session_stream", """WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+  s AS (SELECT user_id, t, sum(CASE WHEN t - before <= 600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, CAST(min(t) // 1000000 AS BIGINT) AS start_s, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, session""")
 def st_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user as a stream; those come out that the watermark has closed."""
-    return drained(steps.session_counts(timed(spark, sf_dir), ["user_id"], "at", "600 seconds", "1 hour"), "append", "sessions").select("user_id", "start_s", "n")
+    """All sessions of users as a stream; those still open when the files end are closed by a last watermark."""
+    steps_ = lambda rows: steps.session_counts(rows, ["user_id"], "at", "600 seconds", LATE)
+    return drained_and_closed(timed(spark, sf_dir), "at", steps_, "append", "sessions").where("user_id is not null").select("user_id", "start_s", "n")
 
 
 @query("st_revision_state", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version FROM events")
 def st_revision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event with its number in its user's chain, the last number held as state."""
-    return drained(steps.numbered(timed(spark, sf_dir), "user_id", "at", "event_id"), "append", "chain").select("user_id", "event_id", "version")
+    """Each event with its number in its user's chain, in order of time whatever the order of files."""
+    steps_ = lambda rows: steps.numbered(rows, "user_id", "at", "event_id", LATE)
+    return drained_and_closed(timed(spark, sf_dir), "at", steps_, "append", "chain").where("user_id is not null").select("user_id", "event_id", "version")
+
+
+@query("st_dedupe_content", """WITH c AS (SELECT event_id, sha256(event_type || '|' || props) AS content FROM events UNION ALL SELECT event_id, sha256(CASE WHEN event_id % 7 = 0 THEN upper(event_type) ELSE event_type END || '|' || props) FROM events)
+SELECT DISTINCT event_id, content FROM c""")
+def st_dedupe_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries as one stream, some events changed in the second: identity and content together say what is a repeat."""
+
+    def sent(kind: Column) -> DataFrame:
+        e = stream_of(spark, sf_dir, "events")
+        return e.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.sha2(F.concat_ws("|", kind, F.col("props")), 256).alias("content"))
+
+    kind = F.col("event_type")
+    both = sent(kind).union(sent(F.when(F.col("event_id") % 7 == 0, F.upper(kind)).otherwise(kind)))
+    return drained(steps.without_repeats(both, ["event_id", "content"], "at", LATE), "append", "content").select("event_id", "content")
