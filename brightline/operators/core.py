@@ -17,12 +17,37 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return top_rows(df, key, order)
 
 
-def gap_sessions(df: DataFrame, keys: list[str], time: str, gap_s: int, ties: list[str]) -> DataFrame:
-    """Adds session_start: the time of the first row of the chain of rows that are at most gap_s after the row before."""
-    w = Window.partitionBy(*keys).orderBy(time, *ties)
+#: Seconds of a slab of gap_sessions(): what one task holds of a key.
+SLAB_S = 21600
+
+
+def gap_sessions(df: DataFrame, keys: list[str], time: str, gap_s: int, ties: list[str], slab_s: int | None = None) -> DataFrame:
+    """Adds session_start: the time of the first row of the chain of rows that are at most gap_s after the row before. time: seconds, a whole number.
+
+    A key's rows are dealt to slabs of time, so that no task gets all of a key that has very many. Within a slab sessions start where a gap is,
+    and at its first row; one row for each slab then tells whether that one goes on from the slab before, and since when. Rows without a time make a
+    session of their own, of null.
+    """
+    at = F.col(time)
+    df = df.withColumn("__slab", F.floor(at / F.lit(slab_s or SLAB_S)))
+    w = Window.partitionBy(*keys, "__slab").orderBy(time, *ties)
     before = F.lag(time).over(w)
-    starts = F.when(before.isNull() | (F.col(time) - before > gap_s), F.col(time))
-    return df.withColumn("__start", starts).withColumn("session_start", F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+    rows = df.withColumn("__start", F.when(before.isNull() | (at - before > gap_s), at))
+    rows = rows.withColumn("__start", F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slabs = rows.groupBy(*keys, "__slab").agg(F.min(time).alias("__first"), F.max(time).alias("__last"), F.max("__start").alias("__open"))
+    order = Window.partitionBy(*keys).orderBy("__slab")
+    goes_on = F.coalesce(F.col("__first") - F.lag("__last").over(order) <= gap_s, F.lit(False))
+    slabs = slabs.withColumn("__goes_on", goes_on)
+    # The slab's last session began in it, unless the slab is one session that goes on.
+    own = F.when(~F.col("__goes_on") | (F.col("__open") > F.col("__first")), F.col("__open"))
+    slabs = slabs.withColumn("__since", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    slabs = slabs.where("__goes_on").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slab").alias("__s"), "__first", "__since")
+    same = F.col("__slab").eqNullSafe(F.col("__s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = rows.join(slabs, same, "left")
+    start = F.when(F.col("__start") == F.col("__first"), F.col("__since")).otherwise(F.col("__start"))
+    return out.withColumn("session_start", start).drop("__slab", "__start", "__s", "__first", "__since", *[f"__k{i}" for i in range(len(keys))])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: list[str], ties: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightline.functions import geo, values
-from brightline.operators.core import dedupe_first, keyset_page, top_rows
+from brightline.operators.core import gap_sessions, dedupe_first, keyset_page, top_rows
 from brightline.plans.geometry import X_SQL, Y_SQL, cell_y
 from brightline.plans.ledger import CUT, LATER, ORDERS_SQL, orders
 from brightline.plans.registry import per_row, query
@@ -164,10 +164,8 @@ SELECT product, satellite, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (
 def src_merge_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries merged, the last of each detection, clustered and summed anew."""
     last = dedupe_first(deliveries(spark, sf_dir), ["event_id"], [F.col("delivery").desc()])
-    before = F.lag("acquired_s").over(Window.partitionBy("product", "satellite").orderBy("acquired_s", "event_id"))
-    last = last.withColumn("before", before)
-    starts = F.col("before").isNull() | (F.col("acquired_s") - F.col("before") > 600)
-    return last.groupBy("product", "satellite").agg(F.count("*").alias("n"), F.count_if(starts).alias("passes"), F.count_if(F.col("delivery") == 1).alias("replaced"))
+    last = gap_sessions(last, ["product", "satellite"], "acquired_s", 600, ["event_id"])
+    return last.groupBy("product", "satellite").agg(F.count("*").alias("n"), F.countDistinct("session_start").alias("passes"), F.count_if(F.col("delivery") == 1).alias("replaced"))
 
 
 @query("set_replace", f"WITH {DETECTIONS_SQL}, live AS (SELECT product, max(event_id) AS event_id FROM det GROUP BY product) SELECT event_id, 0 AS place FROM live UNION ALL SELECT event_id, 1 FROM det WHERE event_id NOT IN (SELECT event_id FROM live)")

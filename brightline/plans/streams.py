@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightline.functions.materialise import shared_dir
 from brightline.plans.registry import query
-from brightline.streaming import steps
+from brightline.streaming import harvest, steps
 from brightline.streaming.sources import drained, drained_and_closed, stream_of
 
 #: How far a row may be behind the latest one and still count: files may come in any order within it.
@@ -60,3 +63,26 @@ def st_dedupe_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     both = sent(kind).union(sent(F.when(F.col("event_id") % 7 == 0, F.upper(kind)).otherwise(kind)))
     return drained(steps.without_repeats(both, ["event_id", "content"], "at", LATE), "append", "content").select("event_id", "content")
+
+
+@query("st_harvest", """WITH d AS (SELECT event_id, epoch_us(ts) // 1000000 AS at_s, event_type AS kind, value, 0 AS sent FROM events UNION ALL
+    SELECT event_id, epoch_us(ts) // 1000000, CASE WHEN event_id % 5 = 0 THEN upper(event_type) ELSE event_type END, CASE WHEN event_id % 10 = 0 THEN value + 1 ELSE value END, 1 FROM events WHERE event_id % 3 <> 1),
+  o AS (SELECT event_id, kind, value, min(at_s) AS at_s, min(sent) AS sent FROM d GROUP BY event_id, kind, value)
+SELECT event_id, kind, value, CAST(row_number() OVER (PARTITION BY event_id ORDER BY sent) AS INTEGER) AS version FROM o""")
+def st_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of detections, the second with corrections, harvested one after the other and once more: a table of revisions, each once."""
+    e = F.col("event_id")
+    fields = ["event_id", "at", "kind", "value", "sent"]
+
+    def delivery(sent: int) -> DataFrame:
+        rows = stream_of(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withColumn("sent", F.lit(sent)).withColumnRenamed("event_type", "kind")
+        if sent:
+            rows = rows.where(e % 3 != 1).withColumn("kind", F.when(e % 5 == 0, F.upper("kind")).otherwise(F.col("kind"))).withColumn("value", F.when(e % 10 == 0, F.col("value") + 1).otherwise(F.col("value")))
+        return rows.select(*fields)
+
+    path = f"{shared_dir(spark)}/brightline/harvest-{uuid.uuid4().hex}"
+    both = delivery(0).union(delivery(1))
+    harvest.harvest(both, path, ["event_id"], ["kind", "value"], "at")
+    harvest.harvest(both, path, ["event_id"], ["kind", "value"], "at")  # nothing new: no effect
+    schema = spark.createDataFrame([], "event_id long, at timestamp, kind string, value double, sent int, content_hash string, day string, batch long")
+    return harvest.revisions(harvest.table(spark, path, schema), ["event_id"], ["sent"]).select("event_id", "kind", "value", "version")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightline.functions import geo, values
 from brightline.operators.core import dedupe_first, gap_sessions, keyset_page, top_rows
+from brightline.operators.selection import exact_medians
 from brightline.plans.registry import query
 from brightline.sources.tables import DELIVERIES_SQL, DETECTIONS_SQL, deliveries, detections
 
@@ -174,7 +175,8 @@ def agg_fixed_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_median", f"WITH {DETECTIONS_SQL} SELECT product, satellite, median(frp) AS median_frp FROM det GROUP BY product, satellite")
 def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).groupBy("product", "satellite").agg(F.median("frp").alias("median_frp"))
+    """Medians by selection: no task has all of a group."""
+    return exact_medians(detections(spark, sf_dir), ["product", "satellite"], "frp", "median_frp")
 
 
 @query("agg_nearest_rank", f"""WITH {DETECTIONS_SQL}, r AS (SELECT product, retrieved_s - acquired_s AS lag_s, row_number() OVER (PARTITION BY product ORDER BY retrieved_s - acquired_s) AS rn, count(*) OVER (PARTITION BY product) AS n FROM det)
