@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,14 +65,18 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
-# Letters with marks of Latin and Greek, and the letters under them.
-MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšťùúûüūůűųýÿźżžάέήίόύώϊϋΐΰ"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsstuuuuuuuuyyzzzαεηιουωιυιυ"
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
+#: Letters that are a letter and marks when decomposed, by rule from the Unicode tables, and those letters.
+MARKED = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if len(_bare(c)) == 1 and _bare(c) != c)
+PLAIN = "".join(map(_bare, MARKED))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Latin and Greek letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks, whether they are part of a letter or stand behind it."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), MARKED, PLAIN)
 
 
 def title_key(text: Column) -> Column:
@@ -85,5 +91,41 @@ def finite(text: Column) -> Column:
 
 
 def fixed_decimals(x: Column, digits: int) -> Column:
-    """x rounded to so many decimals as plain text, without a sign for zero."""
-    return F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)
+    """x as plain text with so many decimals (15 at most), without a sign for zero: the nearest such number to the exact value of the double, of two the larger size. For
+    |x| * 10**digits below 2**52.
+
+    10**digits is exact as a double; the product with x is taken as the sum of two doubles (Dekker), so that what lies just below or above a half is not
+    rounded to it first: 1.005 is a little less than it says and gives 1.00.
+    """
+    size, scale = F.abs(x), float(10**digits)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        c = v * 134217729.0
+        high = c - (c - v)
+        return high, v - high
+
+    p = size * scale
+    (a, b), (c, d) = halves(size), halves(F.lit(scale))
+    rest = ((a * c - p) + a * d + b * c) + b * d
+    whole = F.floor(p)
+    over = (p - whole) + rest  # how far the exact product is above its floor; may be below 0 or above 1 by the rest
+    n = F.when(over >= 0.5, whole + 1).when(over < -0.5, whole - 1).otherwise(whole).cast("decimal(20,0)")
+    text = F.lpad(n.cast("string"), digits + 1, "0") if digits else n.cast("string")
+    text = F.when(F.length(n.cast("string")) > digits, n.cast("string")).otherwise(text)
+    text = F.concat(F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."), F.substring(text, F.length(text) - digits + 1, F.lit(digits))) if digits else text
+    return F.when((x < 0) & (n > 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def canonical_url(url: Column) -> Column:
+    """An https URL without fragment: lower-case host, single slashes in the path and none at its end, parameters decoded, in order of name and value, and
+    encoded as forms are. Null for another scheme, no host, or escapes that can't be decoded."""
+    part = lambda pattern: F.regexp_extract(url, pattern, 1)
+    host = F.lower(part(r"^(?i:https)://([^/?#]+)"))
+    path = F.regexp_replace(part(r"^(?i:https)://[^/?#]+([^?#]*)"), "/+", "/")
+    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise("/")
+    pairs = F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda x: x != "")
+    decoded = lambda v: F.try_url_decode(v)
+    named = F.transform(pairs, lambda x: F.struct(decoded(F.substring_index(x, "=", 1)).alias("k"), decoded(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    broken = F.exists(named, lambda e: e["k"].isNull() | e["v"].isNull())
+    said = F.array_join(F.transform(F.array_sort(named), lambda e: F.concat(F.url_encode(e["k"]), F.lit("="), F.url_encode(e["v"]))), "&")
+    return F.when((host != "") & ~broken, F.concat(F.lit("https://"), host, path, F.when(said != "", F.concat(F.lit("?"), said)).otherwise("")))
