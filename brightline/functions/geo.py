@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
-#: Fixed value: the latitude at which the web-map square ends.
+#: The equator's radius in metres of the web map, and the latitude at which the web-map square ends.
+EQUATOR_M = 6378137.0
 MERCATOR_LIMIT = 85.05112878
 
 
@@ -97,9 +98,13 @@ def on_segment(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Co
     return lat_a + (lat_b - lat_a) * t, normal_lon(lon_a + lon_delta(lon_a, lon_b) * t), t
 
 
+# What a wedge reaches at its sides and in the middle beyond that, as shares of its length.
+TAPER_SIDE, TAPER_MIDDLE = 0.38, 0.62
+
+
 def taper(offset: Column, half: Column) -> Column:
     """How far a wedge reaches at an angle off its axis, as a share of its length."""
-    return 0.38 + 0.62 * F.cos(F.abs(offset) / half * (math.pi / 2))
+    return TAPER_SIDE + TAPER_MIDDLE * F.cos(F.abs(offset) / half * (math.pi / 2))
 
 
 def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
@@ -108,7 +113,7 @@ def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Co
 
 def adaptive_zoom(lat: Column, span_m: float = 18000.0, low: int = 7, high: int = 11) -> Column:
     """The zoom at which a cell is about span_m wide."""
-    circumference = 2 * math.pi * 6378137.0
+    circumference = 2 * math.pi * EQUATOR_M
     return F.least(F.greatest(F.floor(F.log2(F.lit(circumference) * F.cos(F.radians(lat)) / span_m)), F.lit(low)), F.lit(high)).cast("int")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightline.plans import areas, bulletins, footprints, geometry, instants, ledger, neighbours, provenance, reads, records, rules, streams, texts, thermal  # noqa: F401  they register their queries
+from brightline.plans import areas, bulletins, feeds, footprints, geometry, instants, ledger, neighbours, provenance, reads, records, rules, streams, texts, thermal  # noqa: F401  they register their queries
 from brightline.plans.registry import QUERIES, SQL, Query
 
 

@@ -36,15 +36,18 @@ def fields(text) -> dict:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line that is not blank: the values of its fields, and all reasons against it, in the order of the fields."""
+    # The line, then its values, each made once: what is above a generator is not put in the place of every reference to it.
+    once = lambda rows, **c: rows.select("event_id", "product", F.inline(F.array(F.struct(*(x.alias(n) for n, x in c.items())))))
+    rows = once(detections(spark, sf_dir), line=line()).where(F.trim("line") != "")
     f = fields(F.col("line"))
-    rows = detections(spark, sf_dir).select("event_id", "product", line().alias("line")).where(F.trim("line") != "")
-    lat, lon = values.finite(f["lat"]), values.finite(f["lon"])
-    rows = rows.select("event_id", "product", lat.alias("lat"), lon.alias("lon"), values.confidence_code(f["confidence"]).alias("confidence"), values.acquisition_minutes(f["time"]).alias("minutes"), values.finite(f["frp"]).alias("frp"))
+    rows = once(
+        rows, lat=values.finite(f["lat"]), lon=values.finite(f["lon"]), confidence=values.confidence_code(f["confidence"]), minutes=values.acquisition_minutes(f["time"]), frp=values.finite(f["frp"])
+    )
     reasons = F.array_compact(F.array(
         F.when(F.col("lat").isNull() | ~F.col("lat").between(-90, 90), "latitude"), F.when(F.col("lon").isNull() | ~F.col("lon").between(-180, 180), "longitude"),
         F.when(F.col("minutes").isNull(), "time"), F.when(F.col("frp").isNull(), "frp"),
     ))
-    return rows.withColumn("reasons", reasons)
+    return rows.select("*", F.inline(F.array(F.struct(reasons.alias("reasons")))))
 
 
 def parsed_sql() -> str:
@@ -83,12 +86,72 @@ def prj_reject_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).where(F.size("reasons") > 0).select("event_id", code.alias("code"))
 
 
-@per_row("prj_finite", "det", "event_id", {"number": "CASE WHEN k < 60 THEN CAST(k AS DOUBLE) / 4 END"})
-def prj_finite():
-    """Numbers of texts; blank, NaN, infinite and other texts are null."""
-    k = F.col("k")
-    text = F.when(k < 60, F.concat(F.lit(" "), (k / 4).cast("string"))).when(k < 70, "NaN").when(k < 80, "Infinity").when(k < 90, "").otherwise("x1")
-    return {"number": values.finite(text)}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and all words of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("ws")))))
+
+
+@query("prj_finite", rf"""WITH w AS (SELECT doc_id, list_filter({WORDS_SQL}, lambda x: regexp_matches(x, '[0-9]') OR x IN ('NaN', 'Infinity')) AS ws FROM documents)
+SELECT doc_id, CAST(len(ws) AS INTEGER) AS n, CAST(len(list_filter(ws, lambda x: regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?'))) AS INTEGER) AS finite FROM w""")
+def prj_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the words of a document with a digit, or that name no finite number, those that are numbers."""
+    ws = F.filter("ws", lambda w: w.rlike("[0-9]") | w.isin("NaN", "Infinity"))
+    return words(spark, sf_dir).select("doc_id", F.size(ws).alias("n"), F.size(F.filter(ws, lambda w: values.finite(w).isNotNull())).alias("finite"))
+
+
+@query("arr_compact", f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), a AS (SELECT doc_id, ws[1] AS first, list_sort(list_distinct(list_filter(ws, lambda x: length(x) >= 4))) AS a FROM w)
+SELECT doc_id, CAST(len(a) AS INTEGER) AS n, CAST(coalesce(list_position(a, first), 0) AS INTEGER) AS place, sha256(array_to_string(a, ',')) AS joined FROM a""")
+def arr_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's longer words without nulls and repeats, in order; the place of its first word among them, 0 if it isn't one."""
+    a = F.array_sort(F.array_distinct(F.array_compact(F.transform("ws", lambda w: F.when(F.length(w) >= 4, w)))))
+    rows = words(spark, sf_dir).select("doc_id", F.get("ws", F.lit(0)).alias("first"), F.inline(F.array(F.struct(a.alias("a")))))
+    return rows.select("doc_id", F.size("a").alias("n"), F.coalesce(F.array_position("a", F.col("first")), F.lit(0)).cast("int").alias("place"), F.sha2(F.concat_ws(",", "a"), 256).alias("joined"))
+
+
+@query("arr_distinct", f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL}) AS x, generate_subscripts({WORDS_SQL}, 1) AS i FROM documents), f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS said FROM f GROUP BY doc_id)
+SELECT d.doc_id, sha256(coalesce(said, '')) AS said FROM documents d LEFT JOIN j USING (doc_id)""")
+def arr_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's words once each, in the order in which they came first."""
+    return words(spark, sf_dir).select("doc_id", F.sha2(F.concat_ws(" ", F.array_distinct("ws")), 256).alias("said"))
+
+
+@query("arr_subset", "SELECT conv_id, bool_and(role IN ('user', 'assistant')) AS within, bool_or(role = 'system') AS has, CAST(count(DISTINCT role) AS INTEGER) AS n FROM conversations GROUP BY conv_id")
+def arr_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the roles of a conversation are all among two, and whether a third is one of them."""
+    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return roles.select("conv_id", (F.size(F.array_except("roles", F.array(F.lit("user"), F.lit("assistant")))) == 0).alias("within"), F.array_contains("roles", "system").alias("has"), F.size("roles").alias("n"))
+
+
+@per_row("arr_one_of", "det", "event_id", {"one": "CAST(coalesce(frp > 10, FALSE) AS INTEGER) + CAST(coalesce(k % 2 = 0, FALSE) AS INTEGER) + CAST(product = 'click' AS INTEGER) + CAST(satellite = 'S1' AS INTEGER) = 1"})
+def arr_one_of():
+    """Whether exactly one of several columns has a value."""
+    given = F.array(F.when(F.col("frp") > 10, F.col("frp").cast("string")), F.when(F.col("k") % 2 == 0, F.col("k").cast("string")), F.when(F.col("product") == "click", F.col("product")), F.when(F.col("satellite") == "S1", F.col("satellite")))
+    return {"one": F.size(F.filter(given, lambda v: v.isNotNull())) == 1}
+
+
+@query("map_subtract", f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, ws[1:10] AS head, unnest(ws) AS x FROM w) WHERE NOT list_contains(head, x) GROUP BY doc_id, x)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(x || '=' || n, ';' ORDER BY x)) AS kept FROM c GROUP BY doc_id""")
+def map_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's counts by word, as a map, without the keys that its first ten words are."""
+    rows = words(spark, sf_dir)
+    counts = rows.select("doc_id", F.slice("ws", 1, 10).alias("head"), F.explode("ws").alias("w")).groupBy("doc_id", "head", "w").count()
+    maps = counts.groupBy("doc_id", "head").agg(F.map_from_entries(F.collect_list(F.struct("w", "count"))).alias("m"))
+    left = maps.select("doc_id", F.inline(F.array(F.struct(F.map_filter("m", lambda w, _: ~F.array_contains("head", w)).alias("m"))))).where(F.size("m") > 0)
+    said = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return left.select("doc_id", F.size("m").alias("n"), F.sha2(F.concat_ws(";", said), 256).alias("kept"))
+
+
+@query("map_allowlist", r"""WITH t AS (SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)))) AS tags FROM pages),
+  e AS (SELECT page_id, list_filter(tags, lambda x: NOT list_contains(['html', 'head', 'title', 'body', 'p', 'a', 'h1', 'h2', 'div', 'article'], x)) AS extra FROM t) SELECT page_id, len(extra) = 0 AS allowed, array_to_string(extra, ',') AS extra FROM e""")
+def map_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page has only elements of a list, and those that it should not have."""
+    tags = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)))
+    extra = F.array_except(tags, F.array(*(F.lit(x) for x in ("html", "head", "title", "body", "p", "a", "h1", "h2", "div", "article"))))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.inline(F.array(F.struct(extra.alias("extra")))))
+    return rows.select("page_id", (F.size("extra") == 0).alias("allowed"), F.concat_ws(",", "extra").alias("extra"))
 
 
 @per_row("prj_finite_strict", "det", "event_id", {"number": "CASE WHEN k < 60 THEN CAST(k AS DOUBLE) / 4 END"})
@@ -177,22 +240,6 @@ def json_event_details():
     return {"keys": F.get(keys, F.lit(0)), "n_keys": F.size(keys), "valid": (F.col("event_type") != "error") | F.array_contains(keys, "k")}
 
 
-@per_row("map_subtract", "det", "event_id", {"kept": "product || ';' || satellite"})
-def map_subtract():
-    """A map without some of its keys."""
-    m = F.create_map(F.lit("product"), F.col("product"), F.lit("satellite"), F.col("satellite"), F.lit("k"), F.col("k").cast("string"))
-    left = F.map_filter(m, lambda key, _: ~key.isin("k", "other"))
-    return {"kept": F.concat_ws(";", F.map_values(left))}
-
-
-@per_row("map_allowlist", "det", "event_id", {"allowed": "k < 80", "extra": "CASE WHEN k >= 80 THEN 'note' ELSE '' END"})
-def map_allowlist():
-    """Whether a map has only keys of a list, and those that it should not have."""
-    keys = F.when(F.col("k") < 80, F.array(F.lit("product"), F.lit("k"))).otherwise(F.array(F.lit("product"), F.lit("note")))
-    extra = F.array_except(keys, F.array(*[F.lit(x) for x in ("k", "product", "satellite")]))
-    return {"allowed": F.size(extra) == 0, "extra": F.concat_ws(",", extra)}
-
-
 @per_row("map_sanitize", "det", "event_id", {"names": "CASE WHEN k < 50 THEN 'el=a,en=b,und=d' ELSE 'en=b,und=d' END"})
 def map_sanitize():
     """Names by language: valid tags only, trimmed, not empty, in order of the tags, five and the undetermined one at most."""
@@ -214,33 +261,6 @@ def map_pick_locale():
     return {"name": F.coalesce(at("el-GR"), at("el"), at("en"), F.get(F.map_values(names), F.lit(0)), F.lit("slug"))}
 
 
-@per_row("arr_compact", "det", "event_id", {"n": "CASE WHEN k < 50 THEN 3 ELSE 2 END", "place": "CASE WHEN k < 50 THEN 2 ELSE 0 END", "joined": "CASE WHEN k < 50 THEN 'a,b,c' ELSE 'a,c' END"})
-def arr_compact():
-    """An array without nulls and repeats, in order; the place of a member, 0 if it isn't one."""
-    a = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit("c"), F.when(F.col("k") < 50, "b"), F.lit("a"), F.lit("c")))))
-    return {"n": F.size(a), "place": F.array_position(a, "b").cast("int"), "joined": F.concat_ws(",", a)}
-
-
-@per_row("arr_distinct", "det", "event_id", {"reasons": "CASE WHEN k < 50 THEN 'late,gap' ELSE 'late' END"})
-def arr_distinct():
-    """Reasons once each, in the order in which they came first."""
-    return {"reasons": F.concat_ws(",", F.array_distinct(F.array(F.lit("late"), F.when(F.col("k") < 50, "gap").otherwise("late"), F.lit("late"))))}
-
-
-@per_row("arr_subset", "det", "event_id", {"within": "k < 40 OR k >= 80", "has": "k >= 40"})
-def arr_subset():
-    k = F.col("k")
-    a = F.when(k < 40, F.array(F.lit("a"))).when(k < 80, F.array(F.lit("b"), F.lit("z"))).otherwise(F.array(F.lit("b")))
-    return {"within": F.size(F.array_except(a, F.array(F.lit("a"), F.lit("b")))) == 0, "has": F.array_contains(a, "b")}
-
-
-@per_row("arr_one_of", "det", "event_id", {"one": "(k < 30) <> (k >= 20)"})
-def arr_one_of():
-    """Whether exactly one of several columns has a value."""
-    values_ = F.array(F.when(F.col("k") < 30, 1), F.when(F.col("k") >= 20, 2), F.lit(None).cast("int"))
-    return {"one": F.size(F.filter(values_, lambda v: v.isNotNull())) == 1}
-
-
 @per_row("val_exact_scale", "det", "event_id", {"exact": "round(frp, 1) = frp"})
 def val_exact_scale():
     """Whether a number is its own one-decimal form."""
