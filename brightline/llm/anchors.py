@@ -42,10 +42,18 @@ def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def first_two(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of places (in order) with hashes, the first two of each hash, in order."""
+    order = np.argsort(hashes, kind="stable")
+    third = np.zeros(len(at), bool)
+    third[2:] = hashes[order[2:]] == hashes[order[:-2]]
+    return np.sort(at[order[~third]])
+
+
 def scan(docs: DataFrame, look: Callable[[bytes], tuple[int, bytes, np.ndarray, np.ndarray]], name: str) -> DataFrame:
     """A written table of doc_id, size, sha (of the whole content), at and anchor (places and hashes of the anchors).
 
-    look takes a text and gives its size, the digest, the distinct places of anchors and their hashes.
+    look takes a text and gives its size, the digest, the distinct places of anchors (two of each are enough to tell that it recurs) and their hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +78,7 @@ def classes(scanned: DataFrame) -> DataFrame:
 
 
 def recurring(scanned: DataFrame, one: DataFrame) -> DataFrame:
-    """A written table of doc_id, sha and at: the places of anchors that occur more than once, of one document per content.
+    """A written table of doc_id, sha, at and recurs: the places and hashes of anchors that occur more than once, of one document per content.
 
     Counting combines before the shuffle and the places are joined to the counts, so that an anchor that a large
     share of the documents hold is no single task's work.
@@ -78,7 +86,7 @@ def recurring(scanned: DataFrame, one: DataFrame) -> DataFrame:
     first = scanned.where("size(at) > 0").join(one.select("sha", "first_id"), "sha").where("doc_id = first_id")
     places = first.select("doc_id", F.inline(F.arrays_zip("at", "anchor")))
     often = places.groupBy("anchor").count().where("count > 1").select("anchor")
-    again = places.join(often, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    again = places.join(often, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"), F.collect_set("anchor").alias("recurs"))
     return materialise(again.join(one.select(F.col("first_id").alias("doc_id"), "sha"), "doc_id"), "recurring")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightline.functions.materialise import discard, materialise
-from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
+from brightline.llm.anchors import anchor_of_runs, classes, first_two, once, recurring, scan
 from brightline.llm.common import gram_hashes, mix, word_hashes
 
 RUN_WORDS = 20
@@ -38,6 +38,10 @@ PHRASE_WORDS = 8
 BASE = 128
 #: Phrases that one automaton holds, some tens of MB; a shard's documents are streamed in chunks of that many phrases.
 AUTOMATON_PHRASES = 20_000
+#: Bytes of texts that a chunk holds beside; a longer text is a chunk by itself.
+CHUNK_BYTES = 8 << 20
+#: Words of a text that go through the automaton at once.
+STEP_WORDS = 1 << 18
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,10 +54,7 @@ def look(text: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
     grams = gram_hashes(word_hashes(np.frombuffer(text, np.uint8)), PHRASE_WORDS)
     at = anchor_of_runs(grams, RUN_WORDS, PHRASE_WORDS)  # never falls from one run to the next
     at = at[np.diff(at, prepend=-1) > 0]
-    at = at[np.argsort(grams[at], kind="stable")]
-    third = np.zeros(len(at), bool)
-    third[2:] = grams[at[2:]] == grams[at[:-2]]
-    at = np.sort(at[~third])
+    at = first_two(at, grams[at])
     return len(words), hashlib.sha256(b" ".join(words)).digest(), at, grams[at]
 
 
@@ -80,8 +81,10 @@ def located(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[
     """For each place, whether a recurring phrase starts there."""
     found = np.zeros(len(words) + 1, bool)
     get, unknown = numbers.get, digits(0)
-    ends = [end for end, _ in automaton.iter("".join([get(w, unknown) for w in words]))]
-    found[(np.array(ends, np.int64) + 1) // 3 - PHRASE_WORDS] = True
+    for a in range(0, len(words), STEP_WORDS):
+        said = "".join([get(w, unknown) for w in words[a : a + STEP_WORDS + PHRASE_WORDS - 1]])
+        ends = np.fromiter((end for end, _ in automaton.iter(said)), np.int64)
+        found[a + (ends + 1) // 3 - PHRASE_WORDS] = True
     return found
 
 
@@ -110,17 +113,17 @@ def posted_runs(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["run", "doc_id", "start"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, phrases = [], 0
+        chunk, phrases, size = [], 0, 0
         for batch in batches:
             for doc_id, text, sha, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sha", "at")), strict=True):
                 words = words_of(text)
                 if hashlib.sha256(b" ".join(words)).digest() != sha:
                     continue
                 chunk.append((doc_id, text, words, at))
-                phrases += len(at)
-                if phrases >= AUTOMATON_PHRASES:
+                phrases, size = phrases + len(at), size + len(text)
+                if phrases >= AUTOMATON_PHRASES or size >= CHUNK_BYTES:
                     yield flush(chunk)
-                    chunk, phrases = [], 0
+                    chunk, phrases, size = [], 0, 0
         if chunk:
             yield flush(chunk)
 

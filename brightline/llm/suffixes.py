@@ -4,8 +4,8 @@ Every byte that a string of RUN_BYTES bytes covers which also starts anywhere el
 
 1. Anchors (grams of GRAM_BYTES bytes chosen by content) are counted over all documents; a string that occurs twice has an anchor
    that does. Documents with equal texts are looked at once, with their number.
-2. Around each recurring anchor the segment of the strings anchored there is posted. Equal segments fold into one with a count
-   before the shuffle.
+2. Around each recurring anchor the segment of the strings anchored there is posted; segments that repeat one behind the other, as in texts of a short
+   period, are posted once with their number. Equal segments fold into one with a count before the shuffle.
 3. All segments of an anchor meet in one shard, whose suffix array is built in two stages: only suffixes smaller than their
    successors are sorted directly, the rest are induced by a scan of the buckets. Common prefixes of adjacent suffixes of
    RUN_BYTES bytes or more, and segments that occur more than once, tell the strings that repeat.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightline.functions.materialise import discard, materialise
-from brightline.llm.anchors import anchor_of_runs, classes, once, recurring, scan
+from brightline.llm.anchors import anchor_of_runs, classes, first_two, once, recurring, scan
 from brightline.llm.common import mix, powers, prefix_hash
 
 RUN_BYTES = 200
@@ -41,6 +41,9 @@ GRAM_BYTES = 32
 SHARD_BYTES = 4 << 20
 #: Differing segments of one anchor above which its strings are posted one by one.
 MOST_SEGMENTS = 4_000
+#: Bytes of a text that are looked at at once, and of segments that a task holds before it hands them on.
+PIECE_BYTES = 1 << 20
+FLUSH_BYTES = 8 << 20
 
 
 def gram_hashes_of(data: np.ndarray, n: int) -> np.ndarray:
@@ -53,34 +56,80 @@ def gram_hashes_of(data: np.ndarray, n: int) -> np.ndarray:
     return mix((h[n:] - h[:k]) * down[:k])
 
 
+def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Start and bytes of pieces in which each string of RUN_BYTES bytes begins once."""
+    for a in range(0, max(1, len(text) - RUN_BYTES + 1), PIECE_BYTES):
+        yield a, text[a : a + PIECE_BYTES + RUN_BYTES - 1]
+
+
 def look(text: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
-    """Number of bytes, their digest, places and hashes of the anchors."""
-    grams = gram_hashes_of(np.frombuffer(text, np.uint8), GRAM_BYTES)
-    at = np.unique(anchor_of_runs(grams, RUN_BYTES, GRAM_BYTES))
-    return len(text), hashlib.sha256(text).digest(), at, grams[at]
+    """Number of bytes, their digest, and of each anchor the first two places and the hash."""
+    ats, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, piece in pieces(text):
+        grams = gram_hashes_of(np.frombuffer(piece, np.uint8), GRAM_BYTES)
+        at = np.unique(anchor_of_runs(grams, RUN_BYTES, GRAM_BYTES))
+        at = first_two(at, grams[at])
+        ats.append(a + at), found.append(grams[at])
+    at, hashes = np.concatenate(ats), np.concatenate(found)
+    at, one = np.unique(at, return_index=True)  # an anchor may serve strings of two pieces
+    kept = np.searchsorted(at, first_two(at, hashes[one]))
+    return len(text), hashlib.sha256(text).digest(), at[kept], hashes[one][kept]
+
+
+def stretches(piece: bytes, recurs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor, start, end, number of equal segments and reach of the segments of a piece whose anchors are among the hashes of recurs.
+
+    Equal segments that follow each other at most RUN_BYTES apart, as in a ruler or any text of a short period, are one stretch: told by its first segment,
+    how many there are, and how far the last one starts behind it. The strings of a stretch cover all bytes between.
+    """
+    data = np.frombuffer(piece, np.uint8)
+    grams = gram_hashes_of(data, GRAM_BYTES)
+    of = anchor_of_runs(grams, RUN_BYTES, GRAM_BYTES)
+    at, start = np.unique(of, return_index=True)
+    end = np.append(start[1:], len(of))  # of never falls
+    own = np.isin(grams[at], recurs)
+    anchor, start, end = grams[at][own], start[own], end[own] + RUN_BYTES - 1
+    h = prefix_hash(data)
+    _, down = powers(len(data) + 1)
+    same = mix((h[end] - h[start]) * down[start]) ^ (end - start).astype(np.uint64)
+    new = np.ones(len(start), bool)
+    new[1:] = (same[1:] != same[:-1]) | (np.diff(start) > RUN_BYTES)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return anchor[first], start[first], end[first], last - first + 1, start[last] - start[first] if len(first) else first
 
 
 def posted_segments(texts: DataFrame) -> DataFrame:
-    """anchor, doc_id, start and segment: the strings that have a recurring anchor, from the first one's start to the last one's end."""
+    """anchor, doc_id, start, segment, n and reach: the strings that have a recurring anchor, from the first one's start to the last one's end, by stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
+        names = ["anchor", "doc_id", "start", "segment", "n", "reach"]
+        out: list[list] = [[] for _ in names]
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
         for batch in batches:
-            anchors, ids, starts, segments = [], [], [], []
-            for doc_id, text, sha, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sha", "at")), strict=True):
+            for doc_id, text, sha, recurs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sha", "recurs")), strict=True):
                 if not text or hashlib.sha256(text).digest() != sha:
                     continue
-                grams = gram_hashes_of(np.frombuffer(text, np.uint8), GRAM_BYTES)
-                of = anchor_of_runs(grams, RUN_BYTES, GRAM_BYTES)
-                first, last = np.searchsorted(of, at, "left"), np.searchsorted(of, at, "right")
-                for a, i, j in zip(at, first.tolist(), last.tolist(), strict=True):
-                    if i < j:
-                        anchors.append(grams[a]), ids.append(doc_id), starts.append(i), segments.append(text[i : j + RUN_BYTES - 1])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(anchors, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(segments, pa.binary()),
-            ], names=["anchor", "doc_id", "start", "segment"])
-
-    columns = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "sha", "at")
-    return columns.mapInArrow(run, "anchor long, doc_id long, start int, segment binary")
+                recurs = np.array(recurs, np.int64).view(np.uint64)
+                for a, piece in pieces(text):
+                    anchor, start, end, n, reach = stretches(piece, recurs)
+                    segments = [piece[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+                    for column, values in zip(out, (anchor.view(np.int64).tolist(), [doc_id] * len(n), (a + start).tolist(), segments, n.tolist(), reach.tolist()), strict=True):
+                        column.extend(values)
+                    waiting += sum(map(len, segments)) + 100 * len(segments)
+                    if waiting > FLUSH_BYTES:
+                        yield flush()
+                        out, waiting = [[] for _ in names], 0
+        if out[0]:
+            yield flush()
+
+    columns = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "sha", "recurs")
+    return columns.mapInArrow(run, "anchor long, doc_id long, start int, segment binary, n long, reach int")
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -264,15 +313,16 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     posted = posted_segments(once(texts, scanned).join(again, "doc_id")).withColumn("mark", F.xxhash64("segment"))
     posted = materialise(posted, "segments")
     discard(again)
-    distinct = posted.groupBy("anchor", "mark", "segment").agg(F.count("*").alias("n"))
+    distinct = posted.groupBy("anchor", "mark", "segment").agg(F.sum("n").alias("n"))
     crowded = posted.groupBy("anchor").agg(F.approx_count_distinct("mark", 0.02).alias("marks")).where(F.col("marks") > MOST_SEGMENTS).select("anchor")
     crowded = materialise(crowded, "crowded")
     if crowded.isEmpty():
-        places, found = posted.drop("segment"), repeats(distinct)
+        places, found = posted.drop("segment", "n"), repeats(distinct)
     else:
         places, found = _with_crowded(posted, distinct, crowded)
-    strings = places.join(materialise(found, "repeats"), ["anchor", "mark"]).select("doc_id", "start", F.explode("spans").alias("s"))
-    strings = strings.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last"))).alias("strings"))
+    strings = places.join(materialise(found, "repeats"), ["anchor", "mark"]).select("doc_id", "start", "reach", F.explode("spans").alias("s"))
+    span = F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("reach") + F.col("s.last")).alias("last"))
+    strings = strings.groupBy("doc_id").agg(F.collect_list(span).alias("strings"))
     strings = materialise(strings, "strings")
     discard(posted)
     cut = without_strings(texts.join(strings, "doc_id")).drop("kept")
@@ -292,11 +342,11 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
 def _with_crowded(posted: DataFrame, distinct: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places and repeats where the strings around crowded anchors are posted one by one."""
-    calm = posted.join(crowded, "anchor", "left_anti").drop("segment")
+    calm = posted.join(crowded, "anchor", "left_anti").drop("segment", "n")
     offset = F.explode(F.sequence(F.lit(0), F.octet_length("segment") - RUN_BYTES)).alias("o")
-    cut = posted.join(crowded, "anchor").select("doc_id", "start", "segment", offset)
-    cut = cut.select("doc_id", (F.col("start") + F.col("o")).alias("start"), F.substring("segment", F.col("o") + 1, F.lit(RUN_BYTES)).alias("segment"))
+    cut = posted.join(crowded, "anchor").select("doc_id", "start", "segment", "n", "reach", offset)
+    cut = cut.select("doc_id", "n", "reach", (F.col("start") + F.col("o")).alias("start"), F.substring("segment", F.col("o") + 1, F.lit(RUN_BYTES)).alias("segment"))
     cut = cut.withColumn("anchor", F.xxhash64("segment")).withColumn("mark", F.xxhash64(F.lit(1), "segment"))
-    strings = cut.groupBy("anchor", "mark", "segment").agg(F.count("*").alias("n"))
+    strings = cut.groupBy("anchor", "mark", "segment").agg(F.sum("n").alias("n"))
     found = repeats(distinct.join(crowded, "anchor", "left_anti").unionByName(strings))
-    return calm.unionByName(cut.select("anchor", "doc_id", "start", "mark")), found
+    return calm.unionByName(cut.select("anchor", "doc_id", "start", "mark", "reach")), found
