@@ -11,6 +11,10 @@ count t of a cell, e the count expected there if the target were like the raw te
 n-gram's length, the cell's log ratio is log((t + a) / (e + a)): cells that are too rare to tell say nothing.
 A document of the target sample is scored with its own counts taken out of both models.
 
+A log weight sums over all n-grams of a text, so those of whole texts lie hundreds apart and Gumbel noise of 1 rarely decides between them: at temperature 1 the
+sample is nearly the k likeliest documents, which is what a filter wants. A higher temperature divides the weights, so that documents are drawn with
+chances that differ less, and another seed draws others.
+
 Unless the caller gives k, it is the number of documents that look like the target: those whose keys are at or above
 the one that all but 1 - KEEP of the target sample reach.
 
@@ -57,6 +61,7 @@ class Resampler:
     ids: Broadcast
     cutoff: float
     seed: int
+    temperature: float = 1.0
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -139,12 +144,12 @@ def _chunks(raw: dict[int, np.ndarray], target: dict[int, np.ndarray]) -> Iterat
         ], names=["n", "chunk", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 11, rows: int = TARGET_ROWS, keep: float = KEEP) -> Resampler:
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 11, rows: int = TARGET_ROWS, keep: float = KEEP, temperature: float = 1.0) -> Resampler:
     """Counts the models over docs (doc_id, text) with labels (doc_id, quality, toxic), and finds the cutoff."""
     spark = docs.sparkSession
     ids = spark.sparkContext.broadcast(frozenset(good_ids(labels, rows)))
     counts = count_cells(docs, ids)
-    model = Resampler(spark.sparkContext.broadcast(counts["target"]), spark.sparkContext.broadcast(counts["raw"]), ids, float("-inf"), seed)
+    model = Resampler(spark.sparkContext.broadcast(counts["target"]), spark.sparkContext.broadcast(counts["raw"]), ids, float("-inf"), seed, temperature)
     if ids.value:
         wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids.value], "wanted long"))
         sample = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long") == F.col("wanted"), "left_semi")
@@ -156,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11, rows: int = TARGET_R
 
 
 def score(docs: DataFrame, model: Resampler, log_weight: str = "log_weight", key: str = "key") -> DataFrame:
-    """docs with two more columns, of names that docs lacks: the log importance weight of the whole text, and that plus Gumbel noise."""
-    target, raw, ids, seed = model.target, model.raw, model.ids, model.seed
+    """docs with two more columns, of names that docs lacks: the log importance weight of the whole text, and that over the temperature plus Gumbel noise."""
+    target, raw, ids, seed, temperature = model.target, model.raw, model.ids, model.seed, model.temperature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = {n: target.value[n].sum() / max(1, raw.value[n].sum()) for n in SMOOTHING}
@@ -175,7 +180,7 @@ def score(docs: DataFrame, model: Resampler, log_weight: str = "log_weight", key
                     else:
                         weights[i] += float(ratio[n][found].sum())
             columns = [batch.column(c) for c in batch.schema.names if c not in ("__id", "__text")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(weights), pa.array(weights + noise(doc_ids, seed))], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weights), pa.array(weights / temperature + noise(doc_ids, seed))], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(log_weight, T.DoubleType()), T.StructField(key, T.DoubleType())])
     names = schema.fieldNames()
