@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brightline.functions.materialise import materialise
@@ -29,6 +30,17 @@ def test_stages(spark):
     assert docs.count() == before.count() and docs.where("taken > 0").count() > 0
 
 
+def test_columns_of_any_name_pass_the_quality_stage(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    clashing = ["own_0", "OWN_1", "__key", "__log_weight", "key", "log_weight", "c0", "__id"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clashing)))
+    kept = corpus_pipeline.keep_quality(spark, wide, TABLES)
+    assert kept.columns == wide.columns
+    plain = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, TABLES).collect()}
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == plain and all(tuple(r)[-len(clashing) :] == tuple(range(len(clashing))) for r in rows)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, TABLES).count() > 0
 
