@@ -137,11 +137,9 @@ def gnomonic(ring: Column, lat: Column, lon: Column) -> Column:
     return F.when(~F.exists(out, lambda p: p.isNull()), out)
 
 
-def covers_disc(rings: Column, lat: Column, lon: Column, radius: Column) -> Column:
-    """Whether a polygon on the sphere covers the disc of a radius (as an angle) around (lat, lon), on the gnomonic plane of its centre, where the disc
-    is a disc. A ring that crosses itself, has no area or reaches the other half of the sphere covers nothing."""
-    plane = F.transform(rings, lambda r: gnomonic(r, lat, lon))
+def covers_disc(plane: Column, radius: Column) -> Column:
+    """Whether a polygon on the sphere covers the disc of a radius (as an angle) around a place, given by its rings on the gnomonic plane of that place, where the
+    disc is a disc. A ring that crosses itself, has no area or reaches the other half of the sphere covers nothing."""
     sound = ~F.exists(plane, lambda r: r.isNull() | crosses_itself(r) | (F.abs(area(r)) <= 1e-18))
-    of = edges(plane)
-    zero = F.lit(0.0)
-    return F.coalesce(F.when(sound, contains(of, zero, zero) & (distance_to_origin(of) >= F.tan(radius))), F.lit(False))
+    of, zero = edges(plane), F.lit(0.0)
+    return F.coalesce(contains(of, zero, zero) & (distance_to_origin(of) >= F.tan(radius)) & sound, F.lit(False))

@@ -107,9 +107,9 @@ def spherical_bounds(of: Column, turns: Column, pole: Column) -> list[Column]:
     ]
 
 
-def covering(discs: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+def covering(discs: DataFrame, polygons: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
     """Rows of discs and polygons, the polygon of which covers the disc on the sphere. discs: lat, lon and radius (an angle); polygons: shape, of an outer ring
-    and holes as unwrapped lines. keys: equal in both.
+    and holes as unwrapped lines. keys: equal in both. also: what else a pair must meet, asked before the geometry.
 
     A polygon is dealt to grid cells about as high as its bounds on the sphere; a disc's centre to its cell of each grid in use, of which there are few.
     """
@@ -128,5 +128,9 @@ def covering(discs: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFram
         levels = [(3, 0)]
     d = discs.select("*", F.inline(disc_cells(F.col("lat"), F.col("lon"), levels)))
     both = d.join(p.drop("w_", "e_"), [*keys, "i", "j", "x", "y"]).where(F.col("lat").between(F.col("s_"), F.col("n_")))
+    if also is not None:
+        both = both.where(also)
     lines = F.concat(F.array(ring), F.transform("shape.holes", lambda h: h["line"]))
-    return both.where(rings.covers_disc(lines, F.col("lat"), F.col("lon"), F.col("radius"))).drop("i", "j", "x", "y", "s_", "n_")
+    plane = F.transform(lines, lambda r: rings.gnomonic(r, F.col("lat"), F.col("lon")))
+    both = both.drop("i", "j", "x", "y", "s_", "n_").select("*", F.inline(F.array(F.struct(plane.alias("plane_")))))  # projected once
+    return both.where(rings.covers_disc(F.col("plane_"), F.col("radius"))).drop("plane_")

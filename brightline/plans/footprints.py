@@ -148,5 +148,5 @@ def join_support_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = extents.read_extents(extents.extents(spark, sf_dir)).where("reason = ''").select("footprint_id", "satellite", "at_s", F.explode("shapes").alias("shape"))
     later = (F.col("at_s") > F.col("acquired_s")) & (F.col("at_s") <= F.col("acquired_s") + 604800)
-    found = covering(d, p, ["satellite"]).where(later)
+    found = covering(d, p, ["satellite"], later)
     return found.groupBy("event_id").agg(F.countDistinct("footprint_id").alias("n_passes"), F.min_by("footprint_id", F.struct("at_s", "footprint_id")).alias("first_pass"))
