@@ -7,7 +7,7 @@ A document is the set of its distinct four-word shingles. Two documents link if
    zeros (6 bits) and the MANTISSA bits behind the first one. That is a float of the minimum: small whatever the size of the set.
 3. Registers are taken in BANDS of BAND registers, and a band's bytes are a posting. A pair of similarity J shares one with 1 - (1 - J**4)**40: of
    a thousand million pairs at 0.8, the least similarity that links, fewer than one is expected to be missed.
-4. Pairs of a posting whose sizes allow a link have their similarity estimated from the registers: the share of equal ones less the share that
+4. Pairs of a posting whose sizes and sketches (parities of the sizes of hash partitions, which bound the symmetric difference from below) allow a link have their similarity estimated from the registers: the share of equal ones less the share that
    unequal minima would give by chance at these sizes, over what is left. Below ESTIMATE they go (eight standard deviations below 0.8).
 5. The others are verified once, by intersection of their sets, made anew from the texts. Links give components, in rounds of leaders (rounds.py),
    so that a group of near copies takes work in proportion to its size.
@@ -35,6 +35,8 @@ BAND, BANDS = 4, 40
 REGISTERS = BAND * BANDS
 MANTISSA = 10
 ESTIMATE = 0.55
+#: Longs of a set's sketch: the parities of the sizes of 64 hash partitions each.
+SKETCH = [f"s{i}" for i in range(8)]
 #: Sets that a task remembers to leave out registers of copies; older ones are forgotten, which costs only bytes.
 REMEMBERED = 1 << 16
 
@@ -73,6 +75,18 @@ def registers(grams: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint64) << np.uint64(MANTISSA) | behind).astype(">u2")
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parities of the sizes of a set's hash partitions, as longs."""
+    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether two sketches allow a link: partitions whose parities differ are no more than the sets' symmetric difference, so no pair that links is ruled out."""
+    differ = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH]
+    return 9 * sum(differ[1:], differ[0]) <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The share of registers that unrelated sets of n and m elements have in common.
 
@@ -99,19 +113,21 @@ def described(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            n, keys, found = [], [], []
-            for text in b.column("text").to_pylist():
+            n, keys, found, short = [], [], [], np.zeros((b.num_rows, len(SKETCH)), np.int64)
+            for i, text in enumerate(b.column("text").to_pylist()):
                 grams = shingle_set(text)
                 key = set_key(grams) if len(grams) else None
-                n.append(len(grams)), keys.append(key)
-                found.append(None if key is None or key in seen else registers(grams).tobytes())
+                n.append(len(grams)), keys.append(key), found.append(None)
+                if key is not None and key not in seen:
+                    own = registers(grams)
+                    found[-1], short[i] = own.tobytes(), sketch(grams)
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-            columns = [b.column("doc_id"), b.column("digest"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles", "key", "registers"])
+            columns = [b.column("doc_id"), b.column("digest"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary()), *(pa.array(x) for x in short.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles", "key", "registers", *SKETCH])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, digest long, n_shingles long, key binary, registers binary")
+    return _columns(docs).mapInArrow(run, f"doc_id long, digest long, n_shingles long, key binary, registers binary, {', '.join(f'{c} long' for c in SKETCH)}")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -120,11 +136,11 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """gram (a band and its bytes), key and n of every band of the classes that another class has as well."""
+    """key (the class's number), n and grams (bands with their bytes) that another class has as well, of every class that has such."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
-    post = classes.select("key", "n", F.explode(bands).alias("gram"))
+    post = classes.select(F.col("id").alias("key"), F.col("n").cast("int").alias("n"), F.explode(bands).alias("gram"))
     shared = post.groupBy("gram").count().where("count > 1").select("gram")
-    return post.join(shared, "gram")
+    return post.join(shared, "gram").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
 
 
 def _sizes(a: str, b: str) -> Column:
@@ -143,8 +159,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     both = pairs
     for side in ("b", "a"):
-        both = both.join(classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}")), side)
-    return both.mapInArrow(run, "a binary, b binary")
+        both = both.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}")), side)
+    return both.mapInArrow(run, "a long, b long")
 
 
 def gram_sets(texts: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def gram_sets(texts: DataFrame) -> DataFrame:
             grams = [shingle_set(text).view(np.int64) for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(grams, pa.list_(pa.int64()))], names=["key", "grams"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, grams array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key long, grams array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,18 +194,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wide = materialise(described(docs), "registers")
     named = wide.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("n_shingles").alias("n"), F.min("digest").alias("digest"), F.min("doc_id").alias("first_id"))
     # A task may have given the registers of a set to a row that takes no part: they are the set's all the same.
-    kept = wide.where("registers is not null").groupBy("key").agg(F.first("registers").alias("registers"))
-    classes = materialise(named.join(kept, "key"), "classes")
+    kept = wide.where("registers is not null").groupBy("key").agg(F.first(F.struct("registers", *SKETCH)).alias("of")).select("key", "of.*")
+    # Numbers for classes, unique in the table once it is written, are half as wide as keys.
+    classes = materialise(named.join(kept, "key").withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = materialise(wide.select("doc_id", "n_shingles", "key"), "rows")
     discard(wide)
     posted = materialise(postings(classes), "posted")
-    open_keys = posted.select("key").distinct()
-    texts = _columns(docs).where("doc_id is not null").select("digest", "text").join(classes.join(open_keys, "key", "left_semi").select("digest", "key"), "digest").groupBy("key").agg(F.first("text").alias("text"))
+    several = classes.join(posted.select(F.col("key").alias("id")), "id", "left_semi").select("digest", "id")
+    texts = _columns(docs).where("doc_id is not null").select("digest", "text").join(several, "digest").groupBy(F.col("id").alias("key")).agg(F.first("text").alias("text"))
     texts = materialise(texts, "texts")
-    labels = class_labels(posted, _sizes, lambda pairs: verified(likely(pairs, classes), texts))
+    bands = posted.select("key", "n", (F.lit(BANDS) - F.size("grams")).alias("own"), F.explode("grams").alias("gram"))
+    labels = class_labels(bands, _sizes, classes.select(F.col("id").alias("key"), *SKETCH), _alike, lambda pairs: verified(likely(pairs, classes), texts))
     discard(posted, texts)
-    labels = spark.createDataFrame([], "key binary, root binary") if labels is None else labels.withColumnRenamed("node", "key")
-    rooted = classes.select("key", "first_id").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labels = spark.createDataFrame([], "node long, root long") if labels is None else labels
+    rooted = classes.select("key", "id", "first_id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     out = rows.join(rooted.join(least, "root").select("key", "component_id"), "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

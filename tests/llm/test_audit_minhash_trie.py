@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brightline.llm import conversation_trie, hyper_minhash, rounds, source_audit
 
@@ -136,7 +137,7 @@ def near_rows():
     return [*rows, (100, None), (101, ""), (102, " \t"), (103, "one"), (104, "One"), (105, "a b c"), (106, "a b c d e"), (107, "la " * 4000), rows[3], rows[3], (None, rows[0][1]), (None, None)]
 
 
-@pytest.mark.parametrize("growth", [2, 8])
+@pytest.mark.parametrize("growth", [4, 64])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, growth):
     monkeypatch.setattr(rounds, "GROWTH", growth)
     rows = near_rows()
@@ -161,6 +162,22 @@ def test_estimates_are_near_and_chance_is_taken_off():
     assert hyper_minhash.chance(np.array([10**6]), np.array([10**6]))[0] == pytest.approx(0.000176, rel=0.02)
 
 
+def test_sketches_rule_out_no_pair_that_links(spark):
+    r = np.random.RandomState(5)
+    rows, links = [], []
+    for _ in range(80):
+        n, both = r.randint(5, 400), r.rand()
+        x = r.randint(0, 2**63, 2 * n).astype(np.uint64) * np.uint64(2)
+        shared = int(n * both)
+        a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:shared], x[n : 2 * n - shared]]))
+        rows.append((len(a), hyper_minhash.sketch(a).tolist(), len(b), hyper_minhash.sketch(b).tolist()))
+        links.append(100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)))
+    df = spark.createDataFrame(rows, "n int, p array<long>, m int, q array<long>")
+    side = lambda n, c, to: F.struct(F.col(n).alias("n"), *(F.get(c, F.lit(k)).alias(s) for k, s in enumerate(hyper_minhash.SKETCH))).alias(to)
+    said = [x.v for x in df.select(side("n", "p", "l"), side("m", "q", "r")).select(hyper_minhash._alike("l", "r").alias("v")).collect()]
+    assert all(v for v, link in zip(said, links, strict=True) if link) and any(links) and said.count(False) > 40
+
+
 def test_leading_zeros():
     x = np.array([0, 1, 2, 3, 1 << 63, (1 << 64) - 1, 1 << 32, (1 << 32) - 1], np.uint64)
     assert hyper_minhash.leading_zeros(x).tolist() == [64 - int(v).bit_length() for v in x]
