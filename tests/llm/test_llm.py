@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 
 from brightline.llm import (
-    components, decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, secret_scan, sql, substring, suffixes,
+    components, decontaminate, html_text, license_scan, mixing, ngram_join, permutation_index, quality, rounds, secret_scan, sql, substring, suffixes,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,9 +96,9 @@ def brute_components(rows):
     return sets, root
 
 
-@pytest.mark.parametrize("pairs_per_row", [1, 0])
-def test_ngram_join_is_exact(docs, monkeypatch, pairs_per_row):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", pairs_per_row)
+@pytest.mark.parametrize("growth", [64, 4])
+def test_ngram_join_is_exact(docs, monkeypatch, growth):
+    monkeypatch.setattr(rounds, "GROWTH", growth)
     sets, root = brute_components(rows_of(docs))
     got = ngram_join.near_duplicates(docs).collect()
     assert len(got) == docs.count()
@@ -314,6 +314,29 @@ def test_quality_on_held_out_labels(spark):
     assert ranked > 0.8
 
 
+def test_a_warm_sample_is_a_sample_and_nearer_to_the_target(spark):
+    r = random.Random(8)
+    good, other = [f"w{i}" for i in range(80)], [f"w{i}" for i in range(40, 200)]
+    part = [r.random() for _ in range(600)]
+    rows = [(i, " ".join(r.choice(good if r.random() < p else other) for _ in range(40))) for i, p in enumerate(part)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, p in enumerate(part) if p > 0.8], "doc_id long, quality int, toxic int")
+    words = lambda ids: collections.Counter(w for i, t in rows if i in ids for w in t.split())
+    target, drawn = words({i for i, p in enumerate(part) if p > 0.8}), []
+
+    def away(sample):
+        n, m = sum(target.values()), sum(sample.values())
+        return sum(c / n * np.log((c / n) / ((sample[w] + 0.5) / (m + 100))) for w, c in target.items())
+
+    for seed in (1, 2, 2):
+        model = quality.fit(df, labels, seed=seed, temperature=10.0)
+        drawn.append({x.doc_id for x in quality.resample(df, model, k=200, key="key").collect()})
+    assert drawn[1] == drawn[2] and len(drawn[0]) == 200 and 10 < len(drawn[0] - drawn[1]) < 190
+    assert all(away(words(d)) < 0.8 * away(words(set(range(600)))) for d in drawn)
+    cold = [{x.doc_id for x in quality.resample(df, quality.fit(df, labels, seed=s), k=150, key="key").collect()} for s in (1, 2)]
+    assert len(cold[0] - cold[1]) < len(drawn[0] - drawn[1]) / 2
+
+
 def test_top_k_is_exact_with_ties(spark):
     keys = [1.0] * 10 + [2.5, 2.5, -3.0, 7.0] + [random.Random(1).random() for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(keys)), "doc_id long, key double")
