@@ -1,8 +1,8 @@
 """Joins of polygons, and of points and discs with them, without comparing all with all.
 
-Cells form a quadtree over longitudes -180 to 180 and latitudes -90 to 90: level n has 2**n by 2**n. A polygon is covered by cells of levels that fit its own
-size, coarse ones where it fills them and finer ones along its edge. Two polygons meet only where a cell of one is a cell of the other or lies in
-one; so each polygon posts its cells and their ancestors, and the join is on equal cells. Cells that a polygon fills need no exact test.
+Cells form a quadtree over longitudes -180 to 180 and latitudes -90 to 90: level n has 2**n by 2**n. A polygon belongs to the level whose cells are as large as its
+bounds, of which these touch four at most. Two polygons meet at the coarser of their levels: each is dealt to its cells there, and a pair
+is told in one cell, that of the south-west corner of what their bounds share. In a cell, pairs are judged block by block (blocks.py).
 """
 
 from __future__ import annotations
@@ -11,21 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightline.functions import rings
+from brightline.functions.materialise import materialise
+from brightline.operators.blocks import paired
+from brightline.operators.planar import discs_covered, polygons_meet
 
-#: Levels of cells along a polygon's edge below those that its bounds would fit in.
-FINER = 2
-FINEST = 24
-
-
-def cell(level: Column, x: Column, y: Column) -> Column:
-    """One number for a cell: its level and place."""
-    return F.shiftleft(level.cast("long"), 56) + F.shiftleft(x.cast("long"), 28) + y.cast("long")
+FINEST = 22
 
 
 def level_of(width: Column, height: Column) -> Column:
     """The finest level whose cells are as wide and as high as bounds, so that bounds touch four at most."""
     size = F.greatest(width, height * 2, F.lit(1e-6))
-    return F.least(F.greatest(F.floor(F.log2(360.0 / size)), F.lit(0)), F.lit(FINEST - FINER)).cast("int")
+    return F.least(F.greatest(F.floor(F.log2(360.0 / size)), F.lit(0)), F.lit(FINEST)).cast("int")
 
 
 def span(low: Column, high: Column, level: Column, whole: float) -> Column:
@@ -40,51 +36,29 @@ def bounds(of: Column) -> list[Column]:
     return [F.array_min(ends("x")), F.array_min(ends("y")), F.array_max(ends("x")), F.array_max(ends("y"))]
 
 
-def corner_within(of: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
-    return F.exists(of, lambda e: e["x1"].between(west, east) & e["y1"].between(south, north))
-
-
-def cover(polygons: DataFrame, keys: list[str], edges: str = "edges") -> DataFrame:
-    """keys, level, x, y and full (whether the polygon fills the cell) of the cells that cover each polygon. No shuffle: cells are made row by row."""
-    west, south, east, north = bounds(F.col(edges))
-    df = polygons.select(*keys, F.col(edges).alias("of"), west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n")).where("w is not null")
-    df = df.withColumn("level", level_of(F.col("e") - F.col("w"), F.col("n") - F.col("s"))).withColumn("x", F.explode(span(F.col("w"), F.col("e"), F.col("level"), 360.0)))
-    df = df.withColumn("y", F.explode(span(F.col("s"), F.col("n"), F.col("level"), 180.0))).withColumn("full", F.lit(False)).drop("w", "s", "e", "n")
-    for step in range(FINER + 1):
-        size = F.pow(F.lit(2.0), F.col("level"))
-        west, south = F.col("x") * 360.0 / size - 180.0, F.col("y") * 180.0 / size - 90.0
-        mid = lambda v, whole, size=size: v + whole / 2 / size
-        east, north = west + 360.0 / size, south + 180.0 / size
-        on_edge = corner_within(F.col("of"), west, south, east, north) | rings.any_meet(F.col("of"), rings.box_edges(west, south, east, north))
-        state = F.when(F.col("full"), 1).when(on_edge, 2).when(rings.contains(F.col("of"), mid(west, 360.0), mid(south, 180.0)), 1).otherwise(0)
-        df = df.select(*keys, "of", "level", "x", "y", F.inline(F.array(F.struct(state.alias("state"))))).where("state > 0")
-        child = lambda dx, dy: F.struct((F.col("level") + 1).alias("level"), (F.col("x") * 2 + dx).alias("x"), (F.col("y") * 2 + dy).alias("y"), F.lit(False).alias("full"))
-        same = F.array(F.struct("level", "x", "y", (F.col("state") == 1).alias("full")))
-        if step < FINER:
-            same = F.when(F.col("state") == 2, F.array(*(child(dx, dy) for dx in (0, 1) for dy in (0, 1)))).otherwise(same)
-        df = df.select(*keys, "of", F.inline(same))
-    return df.drop("of")
-
-
-def posted(covered: DataFrame) -> DataFrame:
-    """Rows of cover() as cells with own, whether it is the polygon's own cell or only an ancestor of one."""
-    up = F.col("up")
-    rows = covered.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("level"))))
-    key = cell(F.col("level") - up, F.floor(F.col("x") / F.pow(F.lit(2.0), up)), F.floor(F.col("y") / F.pow(F.lit(2.0), up)))
-    rows = rows.withColumn("cell", key).withColumn("own", up == 0).withColumn("full", F.col("full") & (up == 0))
-    keep = [c for c in covered.columns if c not in ("level", "x", "y", "full")]
-    return rows.groupBy(*keep, "cell").agg(F.bool_or("own").alias("own"), F.bool_or("full").alias("full"))
-
-
 def intersecting(a: DataFrame, b: DataFrame, key_a: list[str], key_b: list[str], edges: str = "edges") -> DataFrame:
     """Pairs of keys of polygons of a and b that have a point in common; both have edges, in longitudes from -180 to 180. Keys must differ in name."""
-    l, r = posted(cover(a, key_a, edges)).alias("l"), posted(cover(b, key_b, edges)).alias("r")
-    sure = F.col("l.full") | F.col("r.full")  # the other has a point in that cell: its own cell is the same, or lies in it
-    met = l.join(r, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.own") | F.col("r.own")))
-    pairs = met.groupBy(*[F.col(f"l.{k}") for k in key_a], *[F.col(f"r.{k}") for k in key_b]).agg(F.bool_or(sure).alias("sure"))
-    exact = pairs.where("not sure").join(a.select(*key_a, F.col(edges).alias("edges_a")), key_a).join(b.select(*key_b, F.col(edges).alias("edges_b")), key_b)
-    exact = exact.where(rings.intersect(F.col("edges_a"), F.col("edges_b")))
-    return pairs.where("sure").select(*key_a, *key_b).unionByName(exact.select(*key_a, *key_b))
+
+    def bounded(df: DataFrame, key: list[str]) -> DataFrame:
+        box = F.struct(*(c.alias(n) for c, n in zip(bounds(F.col(edges)), ("w_", "s_", "e_", "n_"), strict=True)))
+        rows = df.select(*key, F.col(edges).alias("edges_"), F.inline(F.array(box))).where("w_ is not null")
+        return rows.withColumn("own", level_of(F.col("e_") - F.col("w_"), F.col("n_") - F.col("s_")))
+
+    l, r = bounded(a, key_a), bounded(b, key_b)
+    levels = lambda df: F.array(*(F.lit(x.own) for x in df.select("own").distinct().collect())).cast("array<int>")  # noqa: E731  23 at most
+
+    def dealt(df: DataFrame, others: Column, first: bool) -> DataFrame:
+        """Rows in their cells: at their own level (turn 0 of a, 1 of b), and for the other turn at levels in use there that are coarser, or for b also equal."""
+        at_own = F.struct(F.lit(0 if first else 1).alias("turn"), F.col("own").alias("level"))
+        coarser = F.filter(others, lambda v: (v < F.col("own")) if first else (v <= F.col("own")))
+        at = F.concat(F.array(at_own), F.transform(coarser, lambda v: F.struct(F.lit(1 if first else 0).alias("turn"), v.alias("level"))))
+        rows = df.select("*", F.inline(at)).drop("own")
+        rows = rows.select("*", F.posexplode(span(F.col("w_"), F.col("e_"), F.col("level"), 360.0)).alias("ix", "x"))
+        rows = rows.select("*", F.posexplode(span(F.col("s_"), F.col("n_"), F.col("level"), 180.0)).alias("iy", "y"))
+        return rows.withColumn("fx_", F.col("ix") == 0).withColumn("fy_", F.col("iy") == 0).drop("ix", "iy")
+
+    weight = 1 + F.size("edges_") / 32
+    return paired(dealt(l, levels(r), True), dealt(r, levels(l), False), ["turn", "level", "x", "y"], (weight, weight), polygons_meet, key_a, key_b)
 
 
 def disc_cells(lat: Column, lon: Column, levels: list[tuple[int, int]]) -> Column:
@@ -107,30 +81,37 @@ def spherical_bounds(of: Column, turns: Column, pole: Column) -> list[Column]:
     ]
 
 
-def covering(discs: DataFrame, polygons: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
-    """Rows of discs and polygons, the polygon of which covers the disc on the sphere. discs: lat, lon and radius (an angle); polygons: shape, of an outer ring
-    and holes as unwrapped lines. keys: equal in both. also: what else a pair must meet, asked before the geometry.
+def covering(discs: DataFrame, polygons: DataFrame, keys: list[str], later: tuple[str, str, int] | None = None) -> DataFrame:
+    """Rows of discs and polygons (without shape and keys), the polygon of which covers the disc on the sphere. discs: lat, lon and radius (an angle); polygons: shape, of an
+    outer ring and holes as unwrapped lines. keys: equal in both. later: names of a time of discs and of polygons, and by how much at most the polygon's is later.
 
     A polygon is dealt to grid cells about as high as its bounds on the sphere; a disc's centre to its cell of each grid in use, of which there are few.
+    Times are dealt to slabs, of which a disc looks at two.
     """
     ring = F.col("shape.outer.line")
     box = spherical_bounds(rings.ring_edges(ring), F.col("shape.outer.turns"), F.col("shape.outer.pole"))
-    p = polygons.select("*", F.inline(F.array(F.struct(*(c.alias(n) for c, n in zip(box, ("w_", "s_", "e_", "n_"), strict=True))))))
+    lines = F.concat(F.array(ring), F.transform("shape.holes", lambda h: h["line"]))
+    p = polygons.select("*", F.inline(F.array(F.struct(lines.alias("lines_"), *(c.alias(n) for c, n in zip(box, ("w_", "s_", "e_", "n_"), strict=True))))))
     fit = lambda size, whole: F.least(F.greatest(F.floor(F.log2(whole / F.greatest(size, F.lit(0.5)))), F.lit(0)), F.lit(8)).cast("int")
-    # What goes round a pole is eight cells wide, not one that all places share.
-    p = p.withColumn("j", fit(F.col("n_") - F.col("s_"), 180.0)).withColumn("i", F.greatest(fit(F.col("e_") - F.col("w_"), 360.0), F.lit(3)))
-    column = lambda v: F.floor((v + 180.0) / 360.0 * F.pow(F.lit(2.0), F.col("i")))
-    n = F.pow(F.lit(2.0), F.col("i")).cast("long")
-    xs = F.array_distinct(F.transform(F.sequence(column(F.col("w_")), column(F.col("e_"))), lambda x: F.pmod(x, n)))
-    p = p.withColumn("x", F.explode(xs)).withColumn("y", F.explode(span(F.col("s_"), F.col("n_"), F.col("j"), 180.0)))
+    wide, high = fit(F.col("e_") - F.col("w_"), 360.0), fit(F.col("n_") - F.col("s_"), 180.0)
+    # One level for both, so that few grids are in use. What goes round a pole is eight cells wide, not one that all places share.
+    p = p.withColumn("j", F.when(wide < 1, high).otherwise(F.least(wide, high))).withColumn("i", F.greatest(F.least(wide, high), F.lit(3)))
+    p = materialise(p, "bounded")
     levels = [(r.i, r.j) for r in p.select("i", "j").distinct().collect()]  # 54 at most
     if not levels:
         levels = [(3, 0)]
+    column = lambda v: F.floor((v + 180.0) / 360.0 * F.pow(F.lit(2.0), F.col("i")))
+    n = F.pow(F.lit(2.0), F.col("i")).cast("long")
+    xs = F.array_distinct(F.transform(F.sequence(column(F.col("w_")), column(F.col("e_"))), lambda x: F.pmod(x, n)))
+    p = p.withColumn("x", F.explode(xs)).withColumn("y", F.explode(span(F.col("s_"), F.col("n_"), F.col("j"), 180.0))).drop("shape")
     d = discs.select("*", F.inline(disc_cells(F.col("lat"), F.col("lon"), levels)))
-    both = d.join(p.drop("w_", "e_"), [*keys, "i", "j", "x", "y"]).where(F.col("lat").between(F.col("s_"), F.col("n_")))
-    if also is not None:
-        both = both.where(also)
-    lines = F.concat(F.array(ring), F.transform("shape.holes", lambda h: h["line"]))
-    plane = F.transform(lines, lambda r: rings.gnomonic(r, F.col("lat"), F.col("lon")))
-    both = both.drop("i", "j", "x", "y", "s_", "n_").select("*", F.inline(F.array(F.struct(plane.alias("plane_")))))  # projected once
-    return both.where(rings.covers_disc(F.col("plane_"), F.col("radius"))).drop("plane_")
+    if later is None:
+        d, p = d.withColumn("slab_", F.lit(0).cast("long")), p.withColumn("slab_", F.lit(0).cast("long"))
+    else:
+        slab = lambda c: F.floor(F.col(c) / later[2])
+        d = d.withColumn("t_", F.col(later[0])).withColumn("slab_", F.explode(F.array(slab(later[0]), slab(later[0]) + 1)))
+        p = p.withColumn("t_", F.col(later[1])).withColumn("slab_", slab(later[1]))
+    d, p = d.dropna(subset=["lat", "lon", "radius"]), p.dropna(subset=["w_", "s_", "e_", "n_"])
+    more = [c for c in polygons.columns if c not in (*keys, "shape")]
+    size = F.aggregate("lines_", F.lit(1.0), lambda s, r: s + F.size(r) / 32)
+    return paired(d, p, [*keys, "i", "j", "x", "y", "slab_"], (F.lit(1.0), size), discs_covered(later and later[2]), [c for c in discs.columns if c not in keys], more)

@@ -77,3 +77,19 @@ def test_overlapping_intervals_equal_all_pairs(spark):
     got = Counter((x.i, x.j) for x in near.overlapping(frame(a, "i"), frame(b, "j"), "i", "j").collect())
     assert got == Counter((i, j) for i, s, e in a for j, t, f in b[:-1] if s <= e and t <= f and s <= f and t <= e)
     assert near.overlapping(frame(a, "i").limit(0), frame(b, "j"), "i", "j").count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 7, 10**6])
+def test_blocks_pair_each_row_of_a_cell_once(spark, monkeypatch, size):
+    import numpy as np
+
+    from brightline.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    make = lambda n, k: spark.range(n).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("c"), F.col("id").alias(k))
+    judge = lambda l, r: np.nonzero((l.field("i").to_numpy()[:, None] + r.field("j").to_numpy()) % 4 == 0)
+    met = blocks.paired(make(150, "i"), make(90, "j"), ["c"], (F.lit(1), F.lit(1)), judge, ["i"], ["j"])
+    cell = lambda k: 0 if k % 3 else k % 5
+    assert Counter((x.i, x.j) for x in met.collect()) == Counter((i, j) for i in range(150) for j in range(90) if cell(i) == cell(j) and (i + j) % 4 == 0)
+    if size == 7:  # the cell that most rows are in is not one task's
+        assert met.withColumn("t", F.spark_partition_id()).where("i % 3 > 0").select("t").distinct().count() > 1
