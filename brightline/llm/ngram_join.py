@@ -6,7 +6,7 @@ A document is the set of its distinct five-word shingles. Two documents link if
    shingles are put in the order of that count (ties by hash): a global order, rare first, without a shuffle of all shingles.
 2. Documents with equal sets form a class; from here on a class counts once, whatever its number of copies.
 3. Sets that link share a shingle among their first n - ceil(0.8 n) + 1. These prefixes are posted by shingle and counted;
-   those that one class alone has go, and tighten the positional filter of the rest: they are shared with nobody.
+   those that one class's prefix alone has go. The positional filter takes the place in the whole prefix.
 4. Candidates pass the length and positional filters within the join, and the suffix filter (parities of the sizes of hash partitions bound the
    symmetric difference from below); each is verified once, by intersection of the sets.
 5. Links give components, in rounds of leaders (rounds.py). A pair within a component needs no verifying, so a group of near copies takes
@@ -210,10 +210,10 @@ def labelled(docs: DataFrame, named_only: bool) -> tuple[DataFrame, DataFrame]:
     rows = materialise(wide.select("doc_id", "digest", "n_shingles", "key"), "rows")
     discard(wide)
     counts.destroy()
-    # Shingles of the prefix that no other class has are shared with none: they count as if they stood before all others.
+    # Shingles that no other prefix has may stand in another set past its prefix: only a shingle's own place bounds what can follow.
     own = F.expr("n - (4 * n + 4) div 5 + 1 - size(live)")
-    posted = found.select("key", "n", own.cast("int").alias("own"), F.posexplode("live").alias("i", "of"))
-    posted = posted.select("of.gram", "key", "n", "own", (F.col("own") + F.col("i")).alias("at"))
+    posted = found.select("key", "n", own.cast("int").alias("own"), F.explode("live").alias("of"))
+    posted = posted.select("of.gram", "key", "n", "own", "of.at")
     short = found.drop("live")
     # The texts that rounds may look at, once, a row for each class: small beside all texts, and packed better than sets of hashes.
     texts = _columns(docs).select("digest", "text").join(short.select("digest", "key"), "digest").groupBy("key").agg(F.first("text").alias("text"))

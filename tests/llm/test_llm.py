@@ -503,3 +503,13 @@ def test_empty_tables(spark):
     assert decontaminate.clean(none, bench).count() == 0
     assert quality.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is not None
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_links_of_prefixes_that_share_their_beginning_only(spark):
+    """The longer texts' own rare words fill their prefixes: common shingles stand in the shorter text's prefix, but past theirs."""
+    from brightline.llm.ngram_join import near_duplicates
+
+    base = [f"w{i}" for i in range(93)]
+    docs = [(0, " ".join(base))] + [(k, " ".join(base + [f"t{k}x{i}" for i in range(11)])) for k in range(1, 9)]
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in found.collect()} == {k: 0 for k in range(9)}
