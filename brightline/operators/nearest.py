@@ -1,8 +1,9 @@
-"""The nearest of two sets of places on a sphere, and intervals that overlap: joins on cells and bins, with no pair looked at that they rule out."""
+"""The nearest of two sets of places on a sphere, and intervals that overlap: joins on cells and blocks, with no pair looked at that they rule out."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from brightline.functions.materialise import discard, materialise
 FULL_CELL = 64
 FINEST = 24
 
+#: Points in time that a block holds, as a power of two; and the blocks a task has, while that leaves them that large.
+LEAST_BITS, MOST_BITS = 6, 12
+BLOCKS_A_TASK = 8
+
 
 def _on_sphere(lat: str, lon: str) -> list[Column]:
     """Coordinates on a sphere of radius 1: there is no seam at 180 degrees and no pole."""
@@ -72,41 +77,56 @@ def nearest(places: DataFrame, among: DataFrame, place: str, other: str, k: int
     return out
 
 
+def _halved(df: DataFrame, most: int, **sought: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """df with a column for each array sought in: how many numbers of it, `most` at the most, the condition holds for. It holds for the array's beginning only.
+
+    Conditions on these columns must not reach the optimiser, which would carry them down and write each step out twice in the next: hence explode_outer below.
+    """
+    df = df.withColumns({name: F.lit(0) for name in sought})
+    for step in (2**k for k in reversed(range(most.bit_length()))):
+        df = df.withColumns({n: F.when(holds(F.get(of, F.col(n) + (step - 1))), F.col(n) + step).otherwise(F.col(n)) for n, (of, holds) in sought.items()})
+    return df
+
+
+def _held(intervals: DataFrame, points: DataFrame, interval: str, point: str, own_begin: bool) -> DataFrame:
+    """Pairs of keys of intervals (from_s, to_s) and of the points (at) in them: from from_s on, or, without own_begin, after it.
+
+    Points are packed in order of time, in blocks of equal numbers however they crowd. An interval finds by halving the blocks that it meets and, in each, the
+    first and the last of its points: what lies between is told as it stands, so that the work for a pair is to write it.
+    """
+    tasks, n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count()
+    bits = min(max((n // (BLOCKS_A_TASK * tasks)).bit_length() - 1, LEAST_BITS), MOST_BITS)
+    ranges = min(max(n >> MOST_BITS, 1), tasks)
+    placed = points.repartitionByRange(ranges, "at", point).sortWithinPartitions("at", point).withColumn("n", F.monotonically_increasing_id())  # the range above 33 bits
+    packed = placed.groupBy(F.shiftright("n", 33).alias("cell"), F.shiftright("n", bits).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", point))).alias("rows"))
+    at = F.col("rows.at")
+    blocks = materialise(packed.select("cell", "block", at[0].alias("lo"), F.element_at(at, -1).alias("hi"), at.alias("ats"), F.col(f"rows.{point}").alias("points")), "points")
+    cells = blocks.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("cell").collect()  # no more than tasks
+    before = lambda t: t < F.col("from_s") if own_begin else t <= F.col("from_s")
+    begun = lambda t: t <= F.col("to_s")
+    ids, los, his = (F.lit([c[k] for c in cells]).cast("array<bigint>") for k in ("cell", "lo", "hi"))
+    there = F.slice(ids, F.col("first") + 1, F.col("last") - F.col("first"))
+    met = _halved(intervals, len(cells), first=(his, before), last=(los, begun)).withColumn("cell", F.explode_outer(there))
+    met = met.join(F.broadcast(blocks.select("cell", "block", "lo", "hi")), "cell").where(~before(F.col("hi")) & begun(F.col("lo")))
+    met = met.select(interval, "from_s", "to_s", "block").repartition(tasks, "block")
+    both = met.join(blocks.select("block", "ats", "points").repartition(tasks, "block").hint("merge"), "block")
+    both = _halved(both, 2**bits, first=(F.col("ats"), before), last=(F.col("ats"), begun))
+    some = F.slice("points", F.col("first") + 1, F.col("last") - F.col("first"))
+    some = F.when(F.col("last") - F.col("first") == F.size("points"), F.col("points")).otherwise(some)
+    return both.select(interval, F.posexplode_outer(some).alias("place", point)).where("place is not null").select(interval, point)
+
+
 def overlapping(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """Pairs of keys of intervals [from_s, to_s] (whole numbers, ends included) of a and b that have a time in common.
 
-    Intervals are dealt to bins of widths that are powers of two, each at the width that is not below its own length, so that it meets two bins at most and
-    few long ones do not make many short ones be dealt finely. An interval looks for others at every width in use: in the bins of that width it meets. A pair
-    is told once, in the bin where the later of the two beginnings lies. Empty intervals (to_s before from_s) have no times.
+    Of two that overlap, the later begins within the other: a pair is told where the beginning of b's lies in a's or, if a's is later, that of a's in b's.
+    Empty intervals (to_s before from_s) have no times.
     """
 
-    def dealt(df: DataFrame, key: str, side: str) -> DataFrame:
-        rows = df.where("from_s <= to_s").select(F.col(key), F.col("from_s").alias(f"from_{side}"), F.col("to_s").alias(f"to_{side}"))
-        size = F.greatest(F.col(f"to_{side}") - F.col(f"from_{side}"), F.lit(1))
-        return rows.withColumn("width", F.ceil(F.log2(size)).cast("int"))
-
-    left, right = dealt(a, key_a, "a"), dealt(b, key_b, "b")
-    widths = lambda df: sorted(r.width for r in df.select("width").distinct().collect())  # noqa: E731  64 at most
-    use_a, use_b = widths(left), widths(right)
-
-    def posted(df: DataFrame, side: str, own: bool, others: list[int]) -> DataFrame:
-        """Rows in their bins at their own width, or at all coarser or equal widths that the other side has."""
-        if own:
-            rows = df.withColumn("w", F.col("width"))
-        else:
-            coarser = F.filter(F.array(*(F.lit(w) for w in others)), lambda w: w >= F.col("width"))
-            rows = df.withColumn("w", F.explode(coarser))
-        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("w")))
-        return rows.withColumn("bin", F.explode(F.sequence(at(f"from_{side}"), at(f"to_{side}")))).drop("width")
-
-    def met(l: DataFrame, r: DataFrame) -> DataFrame:
-        first = F.floor(F.greatest("from_a", "from_b") / F.pow(F.lit(2.0), F.col("w")))
-        both = l.join(r, ["w", "bin"])
-        return both.where((F.col("from_a") <= F.col("to_b")) & (F.col("from_b") <= F.col("to_a")) & (F.col("bin") == first)).select(key_a, key_b)
-
-    if not use_a or not use_b:
-        return left.join(right, F.lit(False)).select(key_a, key_b)
-    # The coarser of the two, by its own width, meets the finer one there; at equal widths the first join tells the pair.
-    coarse_a = met(posted(left, "a", True, []), posted(right, "b", False, use_a))
-    finer = posted(left, "a", False, use_b).where(F.col("w") > F.ceil(F.log2(F.greatest(F.col("to_a") - F.col("from_a"), F.lit(1)))))
-    return coarse_a.unionByName(met(finer, posted(right, "b", True, [])))
+    def sides(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.where("from_s <= to_s").select(key, F.col("from_s").cast("long"), F.col("to_s").cast("long"))
+        return rows, rows.select(key, F.col("from_s").alias("at"))
+
+    (left, begins_a), (right, begins_b) = sides(a, key_a), sides(b, key_b)
+    later_a = _held(right.where("from_s < to_s"), begins_a, key_b, key_a, False)
+    return _held(left, begins_b, key_a, key_b, True).unionByName(later_a)

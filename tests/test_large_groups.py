@@ -79,6 +79,25 @@ def test_overlapping_intervals_equal_all_pairs(spark):
     assert near.overlapping(frame(a, "i").limit(0), frame(b, "j"), "i", "j").count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_overlaps_written_from_blocks_equal_all_pairs(spark, monkeypatch, bits):
+    monkeypatch.setattr(near, "LEAST_BITS", min(bits, 6))
+    monkeypatch.setattr(near, "MOST_BITS", bits)
+    r = random.Random(10)
+    make = lambda n: [(i, s := r.choice([0, 0, 500, r.randrange(-900, 900)]), s + r.choice([0, 1, 40, 700, -1])) for i in range(n)]
+    a, b = make(90) + [(90, -(2**63), 2**63 - 1), (91, None, 3)], make(120) + [(None, 0, 600), (120, -(2**63), -(2**63)), (121, 2**63 - 1, 2**63 - 1), (121, 2**63 - 1, 2**63 - 1)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, from_s long, to_s long")
+    got = Counter((x.i, x.j) for x in near.overlapping(frame(a, "i"), frame(b, "j"), "i", "j").collect())
+    assert got == Counter((i, j) for i, s, e in a[:-1] for j, t, f in b if s <= e and t <= f and s <= f and t <= e)
+
+
+def test_overlaps_at_one_instant_are_dealt_to_many_tasks(spark):
+    at = lambda n, key, to: spark.range(n).select(F.col("id").alias(key), F.lit(1000).alias("from_s"), F.lit(to).alias("to_s"))
+    out = near.overlapping(at(30, "i", 1000), at(4000, "j", 1000).repartition(1), "i", "j")
+    dealt = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(dealt) == 30 * 4000 and max(dealt) < sum(dealt) / 2
+
+
 @pytest.mark.parametrize("size", [2, 7, 10**6])
 def test_blocks_pair_each_row_of_a_cell_once(spark, monkeypatch, size):
     import numpy as np
