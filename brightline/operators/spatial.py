@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightline.functions import rings
 from brightline.functions.materialise import materialise
-from brightline.operators.blocks import paired
+from brightline.operators import blocks
+from brightline.operators.blocks import paired, streamed
+from brightline.operators.passes import tallied
 from brightline.operators.planar import discs_covered, polygons_meet
 
 FINEST = 22
+#: Grids on the sphere: 2**i columns and half as many rows, i from the first to the last; and how many cells bounds touch in one, on average, at most.
+GRIDS, TOUCHED = (3, 9), 2.5
 
 
 def level_of(width: Column, height: Column) -> Column:
@@ -41,7 +44,8 @@ def intersecting(a: DataFrame, b: DataFrame, key_a: list[str], key_b: list[str],
 
     def bounded(df: DataFrame, key: list[str]) -> DataFrame:
         box = F.struct(*(c.alias(n) for c, n in zip(bounds(F.col(edges)), ("w_", "s_", "e_", "n_"), strict=True)))
-        rows = df.select(*key, F.col(edges).alias("edges_"), F.inline(F.array(box))).where("w_ is not null")
+        # Shapes that are alike come one after the other, and are judged once.
+        rows = df.select(*key, F.col(edges).alias("edges_"), F.xxhash64(edges).alias("like_"), F.inline(F.array(box))).where("w_ is not null")
         return rows.withColumn("own", level_of(F.col("e_") - F.col("w_"), F.col("n_") - F.col("s_")))
 
     l, r = bounded(a, key_a), bounded(b, key_b)
@@ -58,60 +62,102 @@ def intersecting(a: DataFrame, b: DataFrame, key_a: list[str], key_b: list[str],
         return rows.withColumn("fx_", F.col("ix") == 0).withColumn("fy_", F.col("iy") == 0).drop("ix", "iy")
 
     weight = 1 + F.size("edges_") / 32
-    return paired(dealt(l, levels(r), True), dealt(r, levels(l), False), ["turn", "level", "x", "y"], (weight, weight), polygons_meet, key_a, key_b)
+    return paired(dealt(l, levels(r), True), dealt(r, levels(l), False), ["turn", "level", "x", "y"], (weight, weight), polygons_meet(), key_a, key_b, ("s_", "w_"), "like_")
 
 
-def disc_cells(lat: Column, lon: Column, levels: list[tuple[int, int]]) -> Column:
-    """The cell of a place in grids of 2**i columns by 2**j rows, one for each (i, j)."""
-    at = lambda v, whole, n: F.least(F.greatest(F.floor((v + whole / 2) / whole * (1 << n)), F.lit(0)), F.lit((1 << n) - 1)).cast("long")
-    return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), at(lon, 360.0, i).alias("x"), at(lat, 180.0, j).alias("y")) for i, j in levels))
-
-
-def spherical_bounds(of: Column, turns: Column, pole: Column) -> list[Column]:
-    """West, south, east and north of a ring of great circles, given by its edges in unwrapped longitudes; west to east may be more than 360 degrees apart
+def spherical_bounds(line: Column, turns: Column, pole: Column) -> Column:
+    """West, south, east and north (w, s, e, n) of a ring of great circles in unwrapped longitudes; west to east may be more than 360 degrees apart
     or go past 180. A great circle rises above its ends by no more than the sagitta of its chord, which is added to both sides."""
-    west, south, east, north = bounds(of)
-    widest = F.array_max(F.transform(of, lambda e: F.abs(e["x2"] - e["x1"])))
+    xs, ys = F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"])
+    south, north = F.array_min(ys), F.array_max(ys)
+    widest = F.array_max(F.zip_with(F.slice(xs, F.lit(2), F.size(xs) - 1), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda x, y: F.abs(x - y)))
     # Of an edge of d degrees of longitude between latitudes up to b: tan(top) <= tan(b) / cos(d / 2).
     reach = lambda b: F.degrees(F.atan(F.tan(F.radians(b)) / F.cos(F.radians(F.least(widest, F.lit(178.0)) / 2))))
     top, bottom = F.when(north > 0, reach(north)).otherwise(north), F.when(south < 0, reach(south)).otherwise(south)
     round_it = turns != 0
-    return [
-        F.when(round_it, -180.0).otherwise(west), F.when(pole < 0, -90.0).otherwise(bottom), F.when(round_it, 180.0).otherwise(east), F.when(pole > 0, 90.0).otherwise(top),
-    ]
+    return F.struct(
+        F.when(round_it, -180.0).otherwise(F.array_min(xs)).alias("w"), F.when(pole < 0, -90.0).otherwise(bottom).alias("s"),
+        F.when(round_it, 180.0).otherwise(F.array_max(xs)).alias("e"), F.when(pole > 0, 90.0).otherwise(top).alias("n"),
+    )
 
 
-def covering(discs: DataFrame, polygons: DataFrame, keys: list[str], later: tuple[str, str, int] | None = None) -> DataFrame:
-    """Rows of discs and polygons (without shape and keys), the polygon of which covers the disc on the sphere. discs: lat, lon and radius (an angle); polygons: shape, of an
-    outer ring and holes as unwrapped lines. keys: equal in both. later: names of a time of discs and of polygons, and by how much at most the polygon's is later.
+def outlines(shape: Column) -> Column:
+    return F.concat(F.array(shape["outer"]["line"]), F.transform(shape["holes"], lambda h: h["line"]))
 
-    A polygon is dealt to grid cells about as high as its bounds on the sphere; a disc's centre to its cell of each grid in use, of which there are few.
-    Times are dealt to slabs, of which a disc looks at two.
-    """
-    ring = F.col("shape.outer.line")
-    box = spherical_bounds(rings.ring_edges(ring), F.col("shape.outer.turns"), F.col("shape.outer.pole"))
-    lines = F.concat(F.array(ring), F.transform("shape.holes", lambda h: h["line"]))
-    p = polygons.select("*", F.inline(F.array(F.struct(lines.alias("lines_"), *(c.alias(n) for c, n in zip(box, ("w_", "s_", "e_", "n_"), strict=True))))))
-    fit = lambda size, whole: F.least(F.greatest(F.floor(F.log2(whole / F.greatest(size, F.lit(0.5)))), F.lit(0)), F.lit(8)).cast("int")
-    wide, high = fit(F.col("e_") - F.col("w_"), 360.0), fit(F.col("n_") - F.col("s_"), 180.0)
-    # One level for both, so that few grids are in use. What goes round a pole is eight cells wide, not one that all places share.
-    p = p.withColumn("j", F.when(wide < 1, high).otherwise(F.least(wide, high))).withColumn("i", F.greatest(F.least(wide, high), F.lit(3)))
+
+def of_shape(shape: Column) -> Column:
+    return spherical_bounds(shape["outer"]["line"], shape["outer"]["turns"], shape["outer"]["pole"])
+
+
+def _columns(box: Column, i: int) -> Column:
+    """Columns of grid i that bounds touch, across 180 degrees too."""
+    at = lambda v: F.floor((v + 180.0) / 360.0 * (1 << i))
+    return F.array_distinct(F.transform(F.sequence(at(box["w"]), at(box["e"])), lambda x: F.pmod(x, F.lit(1 << i).cast("long"))))
+
+
+def _rows(box: Column, i: int) -> Column:
+    return span(box["s"], box["n"], F.lit(i - 1), 180.0)
+
+
+def _place(i: int) -> list[Column]:
+    last = F.lit((1 << (i - 1)) - 1).cast("long")
+    row = F.least(F.greatest(F.floor((F.col("lat") + 90.0) / 180.0 * (1 << (i - 1))), F.lit(0)), last)
+    return [F.pmod(F.floor((F.col("lon") + 180.0) / 360.0 * (1 << i)), F.lit(1 << i).cast("long")).alias("x"), row.alias("y")]
+
+
+def _grid(boxes: DataFrame) -> int:
+    """The finest grid in which bounds (arrays `boxes`) touch few cells, on average: one for all, so that a place is in one cell."""
+    low, high = GRIDS
+    touched = lambda i: F.aggregate("boxes", F.lit(0).cast("long"), lambda n, b: n + (F.size(_columns(b, i)) * F.size(_rows(b, i))).cast("long"))
+    found = boxes.agg(*(F.avg(touched(i)).alias(str(i)) for i in range(low, high + 1))).first()
+    return max((i for i in range(low, high + 1) if (found[str(i)] or 0) <= TOUCHED), default=low)
+
+
+def _at_cells(df: DataFrame, boxes: str, i: int) -> DataFrame:
+    cells = lambda b: F.flatten(F.transform(_columns(b, i), lambda x: F.transform(_rows(b, i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return df.select("*", F.inline(F.array_distinct(F.flatten(F.transform(boxes, cells)))))
+
+
+def covering(discs: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of discs and polygons (without shape and keys), the polygon of which covers the disc on the sphere. discs: lat, lon and radius (an angle); polygons: shape,
+    of an outer ring and holes as unwrapped lines. keys: equal in both. A polygon is dealt to the cells of a grid that it touches, a disc's centre to its own."""
+    d, more = discs.dropna(subset=["lat", "lon", "radius"]), [c for c in polygons.columns if c not in (*keys, "shape")]
+    p = polygons.select(*keys, *more, F.array(of_shape(F.col("shape"))).alias("boxes"), outlines(F.col("shape")).alias("lines_")).where("boxes[0].w is not null and boxes[0].s is not null")
     p = materialise(p, "bounded")
-    levels = [(r.i, r.j) for r in p.select("i", "j").distinct().collect()]  # 54 at most
-    if not levels:
-        levels = [(3, 0)]
-    column = lambda v: F.floor((v + 180.0) / 360.0 * F.pow(F.lit(2.0), F.col("i")))
-    n = F.pow(F.lit(2.0), F.col("i")).cast("long")
-    xs = F.array_distinct(F.transform(F.sequence(column(F.col("w_")), column(F.col("e_"))), lambda x: F.pmod(x, n)))
-    p = p.withColumn("x", F.explode(xs)).withColumn("y", F.explode(span(F.col("s_"), F.col("n_"), F.col("j"), 180.0))).drop("shape")
-    d = discs.select("*", F.inline(disc_cells(F.col("lat"), F.col("lon"), levels)))
-    if later is None:
-        d, p = d.withColumn("slab_", F.lit(0).cast("long")), p.withColumn("slab_", F.lit(0).cast("long"))
-    else:
-        slab = lambda c: F.floor(F.col(c) / later[2])
-        d = d.withColumn("t_", F.col(later[0])).withColumn("slab_", F.explode(F.array(slab(later[0]), slab(later[0]) + 1)))
-        p = p.withColumn("t_", F.col(later[1])).withColumn("slab_", slab(later[1]))
-    d, p = d.dropna(subset=["lat", "lon", "radius"]), p.dropna(subset=["w_", "s_", "e_", "n_"])
-    more = [c for c in polygons.columns if c not in (*keys, "shape")]
+    i = _grid(p)
+    d, p = d.select("*", *_place(i)), _at_cells(p, "boxes", i).select("*", *(F.col("boxes")[0][c].alias(f"{c}_") for c in "wsen")).drop("boxes")
     size = F.aggregate("lines_", F.lit(1.0), lambda s, r: s + F.size(r) / 32)
-    return paired(d, p, [*keys, "i", "j", "x", "y", "slab_"], (F.lit(1.0), size), discs_covered(later and later[2]), [c for c in discs.columns if c not in keys], more)
+    return paired(d, p, [*keys, "x", "y"], (F.lit(1.0), size), discs_covered, [c for c in discs.columns if c not in keys], more)
+
+
+def covered_later(discs: DataFrame, passes: DataFrame, keys: list[str], key: str, other: str, times: tuple[str, str], within: int) -> DataFrame:
+    """key of each disc that passes cover, on the sphere and later than its own time by `within` at most; how many (n) and the first of them (first; ties to the smaller).
+
+    discs: lat, lon, radius (an angle); passes: shapes, arrays of an outer ring and holes as unwrapped lines; a pass covers what one of its shapes does. keys: equal in both.
+    key and other, of discs and of passes, are whole numbers, as are their times. Passes are told for each place once, and counted for its discs by their
+    times: pairs of discs and passes are not written.
+    """
+    t, u = times
+    d = discs.select(*keys, F.col(key).cast("long").alias("id_"), F.col(t).cast("long").alias("t_"), "lat", "lon", "radius").dropna()
+    p = passes.select(
+        *keys, F.col(other).cast("long").alias("id_"), F.col(u).cast("long").alias("t_"), F.filter(F.transform("shapes", of_shape), lambda b: b["w"].isNotNull() & b["s"].isNotNull()).alias("boxes"),
+        F.transform("shapes", outlines).alias("lines_"),
+    )
+    p = materialise(p.dropna().where("size(boxes) > 0 and size(boxes) = size(lines_)"), "bounded")
+    ends = d.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("t_").alias("since"), F.max("t_").alias("until")).first()
+    if ends.s is None:
+        ends = d.sparkSession.createDataFrame([(0.0, 0.0, 0, 0)], "s double, n double, since long, until long").first()
+    p = p.where((F.col("t_") > ends.since) & (F.col("t_") <= ends.until + within) & F.exists("boxes", lambda b: (b["s"] <= ends.n) & (b["n"] >= ends.s)))
+    i = _grid(p)
+    d, cell = d.select("*", *_place(i)), [*keys, "x", "y"]
+    # As many rows as there are cells with discs: of a key no more than the finest grid has.
+    held = d.groupBy(*cell).agg(
+        F.ceil(F.count("*") / blocks.BLOCK / 8).alias("of_a"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("t_").alias("since"), F.max("t_").alias("until")
+    )
+    there = F.exists("boxes", lambda b: (b["s"] <= F.col("n")) & (b["n"] >= F.col("s")))
+    met = _at_cells(p, "boxes", i).join(F.broadcast(held), cell).where(there & (F.col("t_") > F.col("since")) & (F.col("t_") <= F.col("until") + within)).drop("s", "n", "since", "until")
+    crowded = met.groupBy(*cell, "of_a").agg(F.ceil(F.count("*") / blocks.STREAM).alias("of_b"))
+    met = met.drop("of_a").withColumn("s_", F.array_min(F.transform("boxes", lambda b: b["s"]))).withColumn("slab_", F.floor(F.col("t_") / within))
+    d = d.withColumn("s_", F.col("lat")).withColumn("slab_", F.lit(0).cast("long"))
+    found = streamed(d, met, cell, crowded, ["slab_", "s_"], ["id_"]).mapInArrow(tallied(within), "id long, n long, at long, first long")
+    return found.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("n"), F.min_by("first", F.struct("at", "first")).alias("first"))

@@ -6,12 +6,15 @@ import json
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brightline.functions import rings
 from brightline.functions.clipping import clipped, signed_area
-from brightline.operators.spatial import covering, intersecting
+from brightline.operators import blocks, passes, planar
+from brightline.operators.spatial import covered_later, covering, intersecting
 from brightline.plans.footprints import geojson
 from brightline.sources.extents import footprints, read_extents
 
@@ -142,3 +145,44 @@ def test_discs_covered_on_the_sphere(spark):
             if abs(away + d - size) < size * 0.002:
                 close.add((i, c))  # the ring's chords lie a little within the cap
     assert got - close == want - close and len(want) > 80
+
+
+def test_discs_covered_by_later_passes_equal_pairs(spark, monkeypatch):
+    """Against the pairs that covering() writes: many discs of a place, radii up to the edge, passes of several shapes, at equal times, discs twice; in one block and in many."""
+    r = random.Random(12)
+    ring = lambda x, y, w, h: [(x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h), (x - w, y - h)]
+    turned = lambda points: [((x + 180) % 360 - 180, y) for x, y in points]
+    centres = [(0.0, 0.0), (179.5, 40.0), (-179.9, -60.0), (60.0, 80.0)]
+    at = [(i, *r.choice(centres), r.randrange(-60, 200), r.choice("ab")) for i in range(90)]
+    shapes = [(i, k, t, extent(*(turned(ring(x + r.uniform(-3, 3), y + r.uniform(-3, 3), r.uniform(1, 5), r.uniform(1, 5))) for _ in range(r.choice([1, 1, 2]))))) for i, x, y, t, k in at]
+    near = [(x + r.choice([0, 0, r.uniform(-2, 2)]), y + r.choice([0, 0, r.uniform(-2, 2)])) for x, y in centres * 6]
+    discs = [(i, r.choice("ab"), (p := r.choice(near))[1], (p[0] + 180) % 360 - 180, math.radians(r.choice([0.01, 1.0, 1.5, 2.0])), r.randrange(-80, 150)) for i in range(160)]
+    discs += [(i, k, y, x, d, t + 20) for i, k, y, x, d, t in discs[:30]] + discs[30:40] + [(900, "a", 0.0, None, 0.1, 3), (901, None, 0.0, 0.0, 0.1, 3)]
+    p = read_extents(spark.createDataFrame(shapes, "pass long, k string, u long, extent string")).where("reason = ''").select("pass", "k", "u", "shapes")
+    d = spark.createDataFrame(discs, "disc long, k string, lat double, lon double, radius double, t long")
+    pairs = covering(d, p.select("pass", "k", "u", F.explode("shapes").alias("shape")), ["k"]).where("u > t AND u <= t + 120").select("disc", "pass", "u").distinct().collect()
+    want = {i: (len(of := [(x.u, x["pass"]) for x in pairs if x.disc == i]), min(of)[1]) for i in {x.disc for x in pairs}}
+    assert len(want) > 60 and max(n for n, _ in want.values()) > 4
+    for block, stream in ((1 << 14, 1 << 17), (1, 9)):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        monkeypatch.setattr(blocks, "STREAM", stream)
+        got = covered_later(d, p, ["k"], "disc", "pass", ("t", "u"), 120).collect()
+        assert {x.disc: (x.n, x["first"]) for x in got} == want and len(got) == len(want)
+    assert covered_later(d.limit(0), p, ["k"], "disc", "pass", ("t", "u"), 120).count() == 0 == covered_later(d, p.limit(0), ["k"], "disc", "pass", ("t", "u"), 120).count()
+
+
+@pytest.mark.parametrize("pairs", [50, 1 << 20])
+def test_a_place_with_many_discs_and_passes_is_a_row_a_disc(monkeypatch, pairs):
+    monkeypatch.setattr(passes, "PAIRS", pairs)
+    n = 400
+    discs = pa.array([{"id_": i, "t_": i * 7 % 50, "lat": 1.0, "lon": 2.0, "radius": 0.001 if i % 2 else 0.2} for i in range(n)])
+    square = lambda size: [[[{"x": 2.0 + a * size, "y": 1.0 + b * size} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]]]
+    size = lambda i: 5.0 if i % 4 == 0 else 20.0  # noqa: E731  the smaller ones cover the discs of odd numbers only
+    late = sorted((i * 11 % 90, i) for i in range(n))
+    rows = pa.array([{"id_": i, "t_": t, "boxes": [{"w": 2.0 - size(i), "s": 1.0 - size(i), "e": 2.0 + size(i), "n": 1.0 + 1.2 * size(i)}], "lines_": square(size(i))} for t, i in late])
+    tally = passes.Tally(discs, 30)
+    tally.take(rows.slice(0, 150))
+    tally.take(rows.slice(150))
+    got = {i: (k, at, first) for b in tally.rows() for i, k, at, first in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    want = {i: [(t, j) for t, j in late if i * 7 % 50 < t <= i * 7 % 50 + 30 and (i % 2 or j % 4)] for i in range(n)}
+    assert got == {i: (len(of), *min(of)) for i, of in want.items() if of}
