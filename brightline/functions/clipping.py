@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 
 from brightline.functions.rings import DECIMALS, EPSILON
@@ -101,14 +102,59 @@ def clipped(outer: tuple[Ring, int, float | None], holes: list[tuple[Ring, int,
     return [[[*r, r[0]] for r in p] for _, p in polygons]
 
 
+def rounded(v: np.ndarray) -> np.ndarray:
+    """round(v, DECIMALS) of each number: those that lie near the middle of two are left to round()."""
+    scaled = v * 10.0**DECIMALS
+    whole = np.rint(scaled)
+    out, unsure = whole / 10.0**DECIMALS, np.flatnonzero(~(np.abs(scaled - whole) < 0.4) | (np.abs(scaled) > 2.0**48))
+    out[unsure] = [round(x, DECIMALS) for x in v[unsure].tolist()]
+    return out
+
+
+def uncut(shapes: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Rows of one polygon without holes that lies off the strip's sides and goes round no pole, and what clipped() gives for them: nothing is cut, rings are turned and rounded."""
+    at = shapes.offsets.to_numpy()
+    rows = np.flatnonzero(shapes.is_valid().to_numpy(zero_copy_only=False) & (np.diff(at) == 1))
+    polygons = shapes.take(pa.array(rows)).flatten()
+    outer, holes = polygons.field("outer"), polygons.field("holes")
+    lines = outer.field("line")
+    good = outer.is_valid().to_numpy(zero_copy_only=False) & (holes.value_lengths().fill_null(1).to_numpy() == 0) & (outer.field("turns").fill_null(1).to_numpy() == 0) & (lines.value_lengths().fill_null(0).to_numpy() > 3)
+    rows, lines = rows[good], lines.filter(pa.array(good))
+    points = lines.flatten()
+    x, y = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    first, m = lines.offsets.to_numpy().astype(np.int64)[:-1] - lines.offsets[0].as_py(), lines.value_lengths().to_numpy().astype(np.int64) - 1
+    ring = np.repeat(np.arange(len(rows)), m + 1)
+    place = np.arange(len(ring)) - first[ring]
+
+    def area(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x0, y0 = x[first[ring]], y[first[ring]]
+        after = first[ring] + (place + 1) % m[ring]
+        parts = np.where(place < m[ring], (x - x0) * (y[after] - y0) - (x[after] - x0) * (y - y0), 0.0)
+        return np.add.reduceat(parts, first) / 2 if len(first) else parts
+
+    index = first[ring] + np.where((area(x, y) > 0)[ring], place % m[ring], (m[ring] - 1 - place) % m[ring])
+    x, y = rounded(x[index]), rounded(y[index])
+    after = np.minimum(np.arange(len(x)) + 1, len(x) - 1)
+    odd = ~((x > -180) & (x < 180)) | np.isnan(y) | (x == x[after]) & (y == y[after]) & (place < m[ring])
+    good = ~np.logical_or.reduceat(odd, first) & (area(x, y) > 2 * EPSILON) if len(first) else np.zeros(0, bool)
+    kept = good[ring]
+    points = pa.StructArray.from_arrays([pa.array(x[kept]), pa.array(y[kept])], ["x", "y"])
+    of_rings, one = np.append(0, (m[good] + 1).cumsum()).astype(np.int32), np.arange(good.sum() + 1, dtype=np.int32)
+    return rows[good], pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(of_rings, points)))
+
+
 def clipped_arrow(shapes: pa.Array) -> pa.Array:
     """clipped() of each row's polygons (struct(outer, holes) of lines); null where rings cross."""
     as_line = lambda s: ([(p["x"], p["y"]) for p in s["line"]], s["turns"], s["pole"])
+    plain, ready = uncut(shapes)
+    rest = np.setdiff1d(np.arange(len(shapes)), plain)
     out: list[list | None] = []
-    for polygons in shapes.to_pylist():
+    for polygons in shapes.take(pa.array(rest)).to_pylist():
         try:
             found = None if polygons is None else [p for s in polygons for p in clipped(as_line(s["outer"]), [as_line(h) for h in s["holes"]])]
         except ValueError:
             found = None
         out.append(found and [[[{"x": x, "y": y} for x, y in r] for r in p] for p in found])
-    return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+    ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    cut = pa.array(out, pa.list_(pa.list_(ring)))
+    return pa.concat_arrays([ready.cast(cut.type), cut]).take(pa.array(np.argsort(np.concatenate([plain, rest]), kind="stable")))

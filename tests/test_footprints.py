@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightline.functions import rings
-from brightline.functions.clipping import clipped, signed_area
+from brightline.functions.clipping import clipped, clipped_arrow, signed_area, uncut
 from brightline.operators import blocks, passes, planar
 from brightline.operators.spatial import covered_later, covering, intersecting
 from brightline.plans.footprints import geojson, reached_together
@@ -238,3 +238,24 @@ def test_only_parts_within_reach_can_be_met_twice(spark):
     got = sorted((x.footprint_id, x.together) for x in reached_together(f, wanted).collect())
     assert got == [(0, False), (0, False), (1, True), (1, True), (2, False), (3, False), (3, False), (3, False)]
     assert sorted((x.footprint_id, x.together) for x in reached_together(f, wanted.limit(0)).collect())[2:4] == [(1, False), (1, False)]
+
+
+def test_polygons_that_nothing_cuts_are_as_if_cut():
+    r, rows = random.Random(31), []
+    for _ in range(3000):
+        lon, size = r.choice([0, 179, -180, 180, 1e-3]), r.choice([1e-13, 1e-5, 1, 5])
+        points = [(lon + size * r.choice([r.uniform(-1, 1), r.randint(-2, 2)]), size * r.choice([r.uniform(-1, 1), r.randint(-2, 2)])) for _ in range(r.randint(3, 7))]
+        line = {"line": [{"x": x, "y": y} for x, y in [*points, points[0]]], "turns": 0, "pole": None}
+        rows.append(r.choice([None, [], [{"outer": line, "holes": []}] * 2, *[[{"outer": line, "holes": []}]] * 4, [{"outer": line, "holes": [line]}]]))
+    of = pa.struct([("line", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("turns", pa.int32()), ("pole", pa.float64())])
+    shapes = pa.array(rows, pa.list_(pa.struct([("outer", of), ("holes", pa.list_(of))])))
+
+    def plainly(polygons):
+        as_line = lambda s: ([(p["x"], p["y"]) for p in s["line"]], s["turns"], s["pole"])
+        try:
+            return polygons and [[[{"x": x, "y": y} for x, y in ring] for ring in p] for s in polygons for p in clipped(as_line(s["outer"]), [as_line(h) for h in s["holes"]])]
+        except ValueError:
+            return None
+
+    assert clipped_arrow(shapes).to_pylist() == [plainly(x) for x in rows] and len(uncut(shapes)[0]) > 200
+    assert clipped_arrow(shapes.slice(700, 90)).to_pylist() == [plainly(x) for x in rows[700:790]] and len(clipped_arrow(shapes.slice(0, 0))) == 0
